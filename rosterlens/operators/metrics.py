@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.functions.expressions import pct
-from rosterlens.operators.ranking import BUCKETS, running_totals
+from rosterlens.operators.ranking import running_totals
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -16,26 +16,25 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, buckets: int = BUCKETS) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, **ranking) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties counting half.
 
     Null when a class is absent.
     """
-    ranked = running_totals(score_counts(df, label, score), "score", ["pos", "neg"], buckets=buckets)
+    ranked = running_totals(score_counts(df, label, score), "score", ["pos", "neg"], **ranking)
     below = F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0
     pairs = F.max("total_pos").cast("double") * F.max("total_neg")
     return ranked.agg(F.try_divide(F.sum(F.col("pos") * below), pairs).alias("auc"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str, drop_collinear: bool = False,
-              buckets: int = BUCKETS) -> DataFrame:
+              **ranking) -> DataFrame:
     """(threshold, fpr, tpr) from the strictest threshold down, starting at (0, 0).
 
     ``drop_collinear`` leaves out points on a straight line between their
     neighbours.
     """
-    ranked = running_totals(score_counts(df, label, score), "score", ["pos", "neg"], buckets=buckets,
-                            keep_bucket=drop_collinear)
+    ranked = running_totals(score_counts(df, label, score), "score", ["pos", "neg"], **ranking)
     if drop_collinear:
         ranked = _bends(ranked)
     at_least = lambda c: F.col(f"total_{c}") - F.col(f"cum_{c}") + F.col(c)

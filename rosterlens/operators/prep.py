@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions import expressions as ex
@@ -95,20 +96,14 @@ def design_matrix(df: DataFrame, fitted: PipelineModel, output: str = "features"
 
 # --- splits -----------------------------------------------------------------------
 
-def _test_rows(classes: DataFrame, label: str, fraction: float) -> DataFrame:
-    """Test rows per class: ceil(fraction * all), shared out by largest remainder.
-
-    One row per class, so the windows here are over a handful of rows.
-    """
-    whole = Window.partitionBy(F.lit(0))
-    total = F.sum("n").over(whole)
-    wanted = F.ceil(total * F.lit(fraction))
-    ideal = classes.withColumn("_wanted", wanted).withColumn("_product", F.col("n") * F.col("_wanted")).withColumn(
-        "_all", total).withColumn("_floor", F.floor(F.col("_product") / F.col("_all")))
-    left = F.col("_wanted") - F.sum("_floor").over(whole)
-    place = F.row_number().over(whole.orderBy(F.desc(F.col("_product") % F.col("_all")), label))
-    return ideal.select(label, "n", F.array(
-        F.col("_floor") + F.when(place <= left, 1).otherwise(0)).alias("ranks"))
+def _test_rows(classes: dict[int, int], fraction: float) -> dict[int, list[int]]:
+    """Test rows per class: ceil(fraction * all), shared out by largest remainder."""
+    everyone = sum(classes.values())
+    wanted = math.ceil(everyone * fraction)
+    shares = {c: divmod(n * wanted, everyone) for c, n in classes.items()}
+    left = wanted - sum(whole for whole, _ in shares.values())
+    favoured = sorted(shares, key=lambda c: (-shares[c][1], c))[:left]
+    return {c: [whole + (c in favoured)] for c, (whole, _) in shares.items()}
 
 
 def stratified_split(df: DataFrame, label: str = fv.FLAG, id_column: str = fv.ID,
@@ -119,33 +114,34 @@ def stratified_split(df: DataFrame, label: str = fv.FLAG, id_column: str = fv.ID
     A row's side depends on the hash of its id and the seed only, so the split
     repeats on any cluster and in any engine that has MD5.
     """
-    sliced = hash_slices(df, id_column, label, lambda c: _test_rows(c, label, fraction), seed, classes, "_slice")
+    sliced = hash_slices(df, id_column, label, lambda c: _test_rows(c, fraction), seed, classes, "_slice")
     return sliced.withColumn("split", F.when(F.col("_slice") == 0, "test").when(
         F.col("_slice") == 1, "train")).drop("_slice")
 
 
-def _fold_ranks(classes: DataFrame, label: str, k: int) -> DataFrame:
+def _fold_ranks(classes: dict[int, int], k: int) -> dict[int, list[int]]:
     """Upper ranks of the first k-1 folds of every class.
 
     With the classes laid end to end, fold i owns every k-th position, which
     keeps the fold sizes of each class, and of the whole, within one row.
     """
-    end = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(label).rowsBetween(Window.unboundedPreceding, 0))
-
-    def upto(position: Column, fold: Column) -> Column:
+    def upto(position: int, fold: int) -> int:
         """Positions below ``position`` that belong to folds 0..fold."""
-        whole = F.floor(position / F.lit(k))
-        return whole * (fold + 1) + F.least(position % F.lit(k), fold + 1)
+        whole, rest = divmod(position, k)
+        return whole * (fold + 1) + min(rest, fold + 1)
 
-    folds = F.sequence(F.lit(0), F.lit(k - 2))
-    return classes.withColumn("_end", end).select(label, "n", F.transform(
-        folds, lambda i: upto(F.col("_end"), i) - upto(F.col("_end") - F.col("n"), i)).alias("ranks"))
+    ranks, start = {}, 0
+    for value in sorted(classes):
+        end = start + classes[value]
+        ranks[value] = [upto(end, fold) - upto(start, fold) for fold in range(k - 1)]
+        start = end
+    return ranks
 
 
 def stratified_folds(df: DataFrame, label: str = fv.FLAG, id_column: str = fv.ID, k: int = fv.FOLDS,
                      seed: int = fv.SEED, classes: Sequence[int] = (0, 1), name: str = "fold") -> DataFrame:
     """Add a fold number 0..k-1 with class counts within one row of each other."""
-    return hash_slices(df, id_column, label, lambda c: _fold_ranks(c, label, k), seed, classes, name)
+    return hash_slices(df, id_column, label, lambda c: _fold_ranks(c, k), seed, classes, name)
 
 
 # --- scaling, weights, defaults -----------------------------------------------------
@@ -183,18 +179,21 @@ def default_values(df: DataFrame, numeric: Sequence[str] = fv.NUMERIC_FEATURES,
     All numeric columns go through one value histogram, so no column's values
     ever meet in one task.  Ties of the mode go to the smallest value.
     """
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in numeric])))
+    def unpivoted(columns: Sequence[str], kind: str) -> DataFrame:
+        return df.select(F.posexplode(F.array(*[F.col(c).cast(kind) for c in columns])).alias("i", "value"))
+
+    def named(columns: Sequence[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1).alias("feature")
+
     quantiles = approximate_quantiles if approximate else exact_quantiles
-    medians = quantiles(long, "value", {"num_value": 0.5}, ["feature"]).select(
-        "feature", "num_value", F.lit(None).cast("string").alias("cat_value"))
+    medians = quantiles(unpivoted(numeric, "double"), "value", {"num_value": 0.5}, ["i"]).select(
+        named(numeric), "num_value", F.lit(None).cast("string").alias("cat_value"))
 
-    counts = (df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in categorical])))
-        .where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    counts = unpivoted(categorical, "string").where("value IS NOT NULL").groupBy("i", "value").agg(
+        F.count(F.lit(1)).alias("n"))
     # Smallest of (-n, value): the most frequent value, first in order on ties.
-    modes = counts.groupBy("feature").agg(F.min(F.struct(-F.col("n"), F.col("value"))).alias("best")).select(
-        "feature", F.lit(None).cast("double").alias("num_value"), F.col("best.value").alias("cat_value"))
+    modes = counts.groupBy("i").agg(F.min(F.struct(-F.col("n"), F.col("value"))).alias("best")).select(
+        named(categorical), F.lit(None).cast("double").alias("num_value"), F.col("best.value").alias("cat_value"))
     blanks = df.sparkSession.sql(
         "SELECT feature, double(NULL) AS num_value, string(NULL) AS cat_value FROM (SELECT explode(:names) AS feature)",
         args={"names": F.array(*map(F.lit, derived))})

@@ -1,22 +1,18 @@
 """Global ranks, running sums and exact quantiles without a one-task window.
 
-All of them cut the order into buckets first, settle what can be settled on
-the small table of bucket counts, and look inside buckets only where needed.
-The cuts only balance the work; results are exact wherever they fall.
-
 ``running_totals``
-    Inclusive prefix sums in value order: the (group, bucket) table gives the
-    offsets and each bucket is summed on its own.
+    Inclusive prefix sums in value order.  Values are cut into buckets, the
+    (group, bucket) table gives the offsets, and each bucket is summed on its
+    own.  The cuts only balance the work; the sums are exact wherever they fall.
 
 ``exact_quantiles``
-    The bucket counts tell which buckets hold the wanted ranks; only the rows
-    of those buckets are aggregated by value and ranked.  Three narrow scans,
-    and no shuffle of the rows themselves.
+    One scan combines the rows to (group, value) counts; the rest works on
+    those.
 
 ``hash_slices``
     Consecutive slices of the hash order of an id, with exact sizes per class.
-    Only the rows that share a hash prefix with a cut are ever ranked, so the
-    fact table itself is not shuffled at all.
+    Only rows that share a hash prefix with a cut are ever ranked, so the fact
+    table itself is not shuffled at all.
 """
 
 from __future__ import annotations
@@ -26,15 +22,17 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlens.sources.tables import settle
+
 BUCKETS = 256
+ONE_TASK_ROWS = 200_000  # counted rows that may be ordered in a single task
 HASH_PREFIX = 4  # hex digits: at most 65,536 buckets per class
 
 
 def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
     """Add ``_bucket``: the number of cut points below the value, by binary search.
 
-    The cut points are approximate quantiles, computed in one pass and held as
-    one scalar array.
+    The cut points are approximate quantiles, held as one scalar array.
     """
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
@@ -47,18 +45,24 @@ def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
 
 
 def running_totals(distinct: DataFrame, value: str, sums: Sequence[str], group: Sequence[str] = (),
-                   buckets: int = BUCKETS, keep_bucket: bool = False) -> DataFrame:
-    """Add ``cum_x`` (ascending, inclusive) and ``total_x`` for every ``x`` in ``sums``.
-
-    ``distinct`` has one row per (group, value): aggregate first, so that a
-    value shared by a third of all rows is one row here.  ``buckets`` is a
-    power of two.  Buckets are cut on the distinct values, hence none holds
-    much more than 1/buckets of the frame.  ``keep_bucket`` leaves the bucket
-    number in ``_bucket`` for work across neighbours.
+                   buckets: int = BUCKETS, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Add ``cum_x`` (ascending, inclusive), ``total_x`` and ``_bucket``.
+
+    ``distinct`` has one row per (group, value): combine first, so that a value
+    shared by a third of all rows is one row here.  It is settled once, then
+    counted: few values are ordered directly, more go through ``buckets`` (a
+    power of two), none of which holds much more than 1/buckets of them.
     """
     group = list(group)
-    keyed = _bucketed(distinct, value, buckets)
+    distinct = settle(distinct)
+    if distinct.count() <= one_task_rows:
+        everything = Window.partitionBy(*(group or [F.lit(0)]))
+        upto = everything.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return distinct.select("*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums],
+                               *[F.sum(s).over(everything).alias(f"total_{s}") for s in sums],
+                               F.lit(0).alias("_bucket"))
 
+    keyed = _bucketed(distinct, value, buckets)
     # One row per (group, bucket): at most ``buckets`` rows in any window group.
     per_bucket = keyed.groupBy(*group, "_bucket").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
     everything = Window.partitionBy(*(group or [F.lit(0)]))
@@ -75,126 +79,99 @@ def running_totals(distinct: DataFrame, value: str, sums: Sequence[str], group:
         match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     inside = Window.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return keyed.join(offsets, match).select(
-        *distinct.columns,
-        *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
-        *[F.col(f"total_{s}") for s in sums],
-        *(["_bucket"] if keep_bucket else []))
+        *distinct.columns, *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
+        *[F.col(f"total_{s}") for s in sums], "_bucket")
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], group: Sequence[str] = (),
-                    moments: bool = False, buckets: int = BUCKETS) -> DataFrame:
+                    moments: bool = False, **ranking) -> DataFrame:
     """Interpolated quantiles per group, one column per entry of ``probabilities``.
 
-    ``moments`` adds ``min``, ``max`` and ``avg`` of the value, which the bucket
-    counts give for free.  A value shared by a third of all rows is combined
-    before anything is shuffled.
+    ``moments`` adds ``min``, ``max`` and ``avg``, which the value counts give
+    without another scan.  No task ever holds all values of a large group.
     """
     group = list(group)
-    names, shares = list(probabilities), [float(p) for p in probabilities.values()]
-    keyed = _bucketed(df.select(*group, value).where(F.col(value).isNotNull()), value, buckets)
-
-    # One row per (group, bucket): at most ``buckets`` rows in any window group.
-    per_bucket = keyed.groupBy(*group, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
-        F.sum(value).alias("_sum"))
-    everything = Window.partitionBy(*(group or [F.lit(0)]))
-    upto = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    placed = per_bucket.withColumns({"_cum": F.sum("_n").over(upto), "_rows": F.sum("_n").over(everything)})
-
-    # Both neighbours of every wanted position, as 0-based ranks.
-    position = lambda p: (F.col("_rows") - 1) * F.lit(p)
-    wanted = F.array(*[F.struct(F.lit(2 * i + end).alias("slot"), side(position(p)).alias("rank"))
-                       for i, p in enumerate(shares) for end, side in enumerate((F.floor, F.ceil))])
-    first = F.col("_cum") - F.col("_n")
-    targets = placed.withColumn("_want", F.filter(
-        wanted, lambda w: (w["rank"] >= first) & (w["rank"] < F.col("_cum")))).where(F.size("_want") > 0).select(
-        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_g_bucket"), "_want",
-        first.alias("_first"))
-    if not group:
-        targets = F.broadcast(targets)  # at most two buckets per probability
-
-    def same_group(prefix: str, on: Column | None = None) -> Column | None:
-        for g in group:
-            match = F.col(g).eqNullSafe(F.col(f"{prefix}{g}"))
-            on = match if on is None else on & match
-        return on
-
-    # Only rows of the wanted buckets, combined by value before the shuffle.
-    inside = keyed.join(targets, same_group("_g_", F.col("_bucket") == F.col("_g_bucket"))).groupBy(
-        *group, "_bucket", "_first", "_want", value).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("_first") + F.sum("_n").over(ahead)
-    hits = inside.withColumn("_end", end).withColumn("_hit", F.filter(
-        "_want", lambda w: (w["rank"] < F.col("_end")) & (w["rank"] >= F.col("_end") - F.col("_n"))))
-    picked = hits.where(F.size("_hit") > 0).select(*group, value, F.explode("_hit.slot").alias("_slot")).groupBy(
-        *group).agg(*[F.max(F.when(F.col("_slot") == slot, F.col(value))).cast("double").alias(f"_q{slot}")
-                      for slot in range(2 * len(shares))])
-
-    totals = per_bucket.groupBy(*[F.col(g).alias(f"_t_{g}") for g in group]).agg(
-        F.sum("_n").alias("_rows"), F.min("_min").alias("min"), F.max("_max").alias("max"),
-        (F.sum("_sum") / F.sum("_n")).alias("avg"))
-    result = picked.join(totals, same_group("_t_")) if group else picked.crossJoin(F.broadcast(totals))
-
-    def interpolated(i: int, p: float) -> Column:
-        lo, hi, at = F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}"), position(p)
-        return lo + (hi - lo) * (at - F.floor(at))
-
-    return result.select(*group, *[interpolated(i, p).alias(names[i]) for i, p in enumerate(shares)],
-                         *(["min", "max", "avg"] if moments else []))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, value, ["n"], group, **ranking)
+    picks, results = [], []
+    for name, p in probabilities.items():
+        position = lambda n: (F.col(n) - 1) * F.lit(float(p))  # noqa: B023, E731
+        for end, side in (("lo", F.floor), ("hi", F.ceil)):
+            # The first value whose running count passes the 0-based rank.
+            picks.append(F.min(F.when(F.col("cum_n") > side(position("total_n")), F.col(value))).cast("double")
+                         .alias(f"_{end}_{name}"))
+        at, lo, hi = position("_rows"), F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        results.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    found = ranked.groupBy(*group).agg(
+        F.max("total_n").alias("_rows"), *picks, F.min(value).alias("min"), F.max(value).alias("max"),
+        (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("avg"))
+    return found.select(*group, *results, *(["min", "max", "avg"] if moments else []))
 
 
 def approximate_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
                           group: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """One-pass quantiles with rank error of at most rows / ``accuracy``."""
-    aggregates = [F.percentile_approx(value, p, accuracy).cast("double").alias(name)
-                  for name, p in probabilities.items()]
-    return df.groupBy(*group).agg(*aggregates)
+    return df.groupBy(*group).agg(*[F.percentile_approx(value, p, accuracy).cast("double").alias(name)
+                                    for name, p in probabilities.items()])
 
 
 # --- slices of the hash order ---------------------------------------------------
 
-def _hash(id_column: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")))
-
-
-def hash_slices(df: DataFrame, id_column: str, label: str, cut_ranks: Callable[[DataFrame], DataFrame],
+def hash_slices(df: DataFrame, id_column: str, label: str,
+                cut_ranks: Callable[[dict[int, int]], dict[int, list[int]]],
                 seed: int, classes: Sequence[int] = (0, 1), name: str = "slice") -> DataFrame:
     """Number of class-wise cut ranks that lie before each row in hash order.
 
-    ``cut_ranks`` receives one row per class (label, ``n``) and adds ``ranks``,
-    an ascending array: a row at 1-based hash rank r of its class gets the
-    number of ranks smaller than r.  Ids must be unique.  A row whose label is
-    not in ``classes`` gets null.
+    ``cut_ranks`` turns the rows per class into ascending ranks per class: a
+    row at 1-based hash rank r of its class gets the number of ranks smaller
+    than r.  Ids must be unique.  A row whose label is not in ``classes`` gets
+    null.
+
+    The cut points are found right away, in two scans of the id and the label;
+    the result is a projection of ``df`` that compares with them.
     """
-    keyed = df.select(F.col(label).alias("_label"), F.col(id_column).alias("_id"),
-                      _hash(id_column, seed).alias("_hash")).where(F.col("_label").isin(*classes))
-    keyed = keyed.withColumn("_prefix", F.substring("_hash", 1, HASH_PREFIX))
-
-    # At most len(classes) * 16**HASH_PREFIX rows from here on.
-    counts = keyed.groupBy("_label", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    ranks = cut_ranks(counts.groupBy(F.col("_label").alias(label)).agg(F.sum("_n").alias("n")))
-    ranks = ranks.select(F.col(label).alias("_label"), F.posexplode("ranks").alias("_slot", "_rank"))
+    hashed = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")))
+    keyed = df.where(F.col(label).isin(*classes)).select(
+        F.col(label).alias("_label"), F.col(id_column).alias("_id"), hashed.alias("_hash")).withColumn(
+        "_prefix", F.substring("_hash", 1, HASH_PREFIX))
+
+    # At most len(classes) * 16**HASH_PREFIX rows, so one row per class is left to collect.
+    counts = settle(keyed.groupBy("_label", "_prefix").agg(F.count(F.lit(1)).alias("_n")))
+    per_class = counts.groupBy("_label").agg(F.sum("_n").alias("_n")).collect()
+    ranks = cut_ranks({row["_label"]: row["_n"] for row in per_class})
+
+    # The prefix every cut falls into, and the place of the cut inside it.
     upto = Window.partitionBy("_label").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        counts.withColumn("_cum", F.sum("_n").over(upto))
-        .join(F.broadcast(ranks), "_label")  # classes x cuts rows
-        .where((F.col("_cum") >= F.col("_rank")) & (F.col("_cum") - F.col("_n") < F.col("_rank")))
-        .select("_label", "_prefix", "_slot", (F.col("_rank") - F.col("_cum") + F.col("_n")).alias("_nth")))
-
-    # Only rows in a cut's own prefix: about rows / 16**HASH_PREFIX per cut.
-    order = Window.partitionBy("_label", "_slot").orderBy("_hash", "_id")
-    found = (
-        keyed.join(F.broadcast(cuts), ["_label", "_prefix"])
-        .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("_nth"))
-        .select("_label", "_hash", "_id"))
-    # A cut at rank 0 lies before every row.
-    at_zero = ranks.where("_rank <= 0").select(
-        "_label", F.lit("").alias("_hash"), F.lit(None).cast(df.schema[id_column].dataType).alias("_id"))
-    thresholds = found.unionByName(at_zero).groupBy("_label").agg(
-        F.collect_list(F.struct("_hash", "_id")).alias("_cuts"))
-
-    at = F.struct(_hash(id_column, seed).alias("_hash"), F.col(id_column).alias("_id"))
-    before = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda cut: cut < F.col("_at")))
-    joined = df.withColumn("_at", at).join(
-        F.broadcast(thresholds), F.col(label).eqNullSafe(F.col("_label")), "left")
-    return joined.select(*df.columns, F.when(F.col(label).isin(*classes), before).alias(name))
+    cumulated = counts.withColumn("_cum", F.sum("_n").over(upto))
+    inside = F.lit(False)
+    for value, cuts in ranks.items():
+        for rank in cuts:
+            inside = inside | ((F.col("_label") == value) & (F.col("_cum") >= rank) & (F.col("_cum") - F.col("_n") < rank))
+    hit = cumulated.where(inside).collect()  # at most classes x cuts rows
+
+    # Only rows in a cut's own prefix: about rows / 16**HASH_PREFIX for each.
+    wanted = F.lit(False)
+    for row in hit:
+        wanted = wanted | ((F.col("_label") == row["_label"]) & (F.col("_prefix") == row["_prefix"]))
+    order = Window.partitionBy("_label", "_prefix").orderBy("_hash", "_id")
+    place, picked = F.row_number().over(order), F.lit(False)
+    for row in hit:
+        for rank in ranks[row["_label"]]:
+            picked = picked | ((F.col("_label") == row["_label"]) & (F.col("_prefix") == row["_prefix"])
+                               & (F.col("_place") == rank - row["_cum"] + row["_n"]))
+    ends = keyed.where(wanted).withColumn("_place", place).where(picked).collect()  # classes x cuts rows
+    last_rows = {(r["_label"], r["_prefix"], r["_place"]): r for r in ends}
+    prefixes = {(row["_label"], rank): (row["_prefix"], rank - row["_cum"] + row["_n"])
+                for row in hit for rank in ranks[row["_label"]] if row["_cum"] - row["_n"] < rank <= row["_cum"]}
+
+    def is_after(value: int, rank: int) -> Column:
+        if rank <= 0:
+            return F.lit(1)
+        last = last_rows[(value, *prefixes[value, rank])]
+        tie = (F.col("_hash") == last["_hash"]) & (F.col(id_column) > F.lit(last["_id"]))
+        return F.when((F.col("_hash") > last["_hash"]) | tie, 1).otherwise(0)
+
+    slices = F.lit(None).cast("int")
+    for value, cuts in ranks.items():
+        slices = F.when(F.col(label) == value, sum((is_after(value, r) for r in cuts), F.lit(0))).otherwise(slices)
+    return df.withColumn("_hash", hashed).select(*df.columns, slices.alias(name))

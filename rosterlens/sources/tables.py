@@ -108,3 +108,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     return configured.rstrip("/") if configured else _fallback_dir(spark.sparkContext.applicationId)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute the frame once and cut its lineage with a reliable checkpoint.
+
+    For combined, small intermediate results that several later steps read.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
