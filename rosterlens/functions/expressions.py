@@ -152,15 +152,30 @@ def direction(value: ColumnOrName, threshold: float = 0.0) -> Column:
     return first_match([(_col(value) > threshold, "increases")], "reduces")
 
 
-def format_amount(c: ColumnOrName) -> Column:
-    """Short money text: ``$1.25M``, ``$48K`` or the bare integer below 1000.
+def _hundredths(s: Column) -> Column:
+    """``s * 100`` rounded to an integer as C-style formatting rounds ``s`` to two decimals.
 
-    ``bround`` settles ties to even before formatting, as C-style formatting does.
+    That works on the exact binary value and settles true ties to even.  When
+    the product lands on a tie, the error of the multiplication tells on which
+    side the exact value is; it is exact because 100 and the halves of ``s``
+    have few bits.
     """
+    t = s * 100.0
+    split = s * 134217729.0
+    high = split - (split - s)
+    error = (high * 100.0 - t) + (s - high) * 100.0
+    tie = t - F.floor(t) == 0.5
+    return (F.when(tie & (error > 0), F.ceil(t)).when(tie & (error < 0), F.floor(t))
+            .otherwise(F.rint(t).cast("bigint")))
+
+
+def format_amount(c: ColumnOrName) -> Column:
+    """Short money text: ``$1.25M``, ``$48K`` or the bare integer below 1000."""
     x = _col(c).cast("double")
+    cents = _hundredths(x / 1e6)
     return (
-        F.when(x >= 1e6, F.format_string("$%.2fM", F.bround(x / 1e6, 2)))
-        .when(x >= 1e3, F.format_string("$%.0fK", F.bround(x / 1e3, 0)))
+        F.when(x >= 1e6, F.format_string("$%d.%02dM", F.floor(cents / 100), cents % 100))
+        .when(x >= 1e3, F.format_string("$%.0fK", F.rint(x / 1e3)))
         .otherwise(x.cast("bigint").cast("string"))
     )
 

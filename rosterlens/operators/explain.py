@@ -89,51 +89,85 @@ def _leaves(tree: pd.DataFrame) -> list[tuple]:
 
 # --- contributions of a batch ------------------------------------------------------
 
-def _pattern_values(codes: np.ndarray, z: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Contributions (leaf, pattern, feature) of leaves that use m features each."""
-    m = z.shape[1]
+def _pattern_tables(z: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Contributions (leaf, feature, pattern) of leaves that use m features each.
+
+    For each node of the quadrature, the product over all features is built by
+    doubling (one feature at a time, bit clear then bit set) and divided by
+    the factor of the feature in question.
+    """
+    n, m = z.shape
+    bit = np.array([0.0, 1.0])
     points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
-    points, weights = (points + 1) / 2, weights / 2
-    o = ((codes[:, None] >> np.arange(m)) & 1).astype(float)
-    total = np.zeros((len(z), len(codes), m))
-    for t, w in zip(points, weights):
-        factors = t * o[None, :, :] + (1 - t) * z[:, None, :]
-        total += w * factors.prod(axis=2, keepdims=True) / factors
-    return value[:, None, None] * (o[None, :, :] - z[:, None, :]) * total
-
-
-def _group_leaves(leaves: list[tuple]) -> Iterator[tuple]:
-    """Stack the leaves of one tree by their number of features."""
-    by_size: dict[int, list[tuple]] = {}
-    for leaf in leaves:
-        by_size.setdefault(len(leaf[1]), []).append(leaf)
-    for m, group in sorted(by_size.items()):
-        if m:
-            value, feature, low, high, z = (np.array(part) for part in zip(*group))
-            yield m, value, feature, low, high, z
+    tables = np.zeros((n, m, 1 << m))
+    for t, w in zip((points + 1) / 2, weights / 2):
+        factor = t * bit + (1 - t) * z[:, :, None]  # (leaf, feature, bit)
+        product = np.ones((n, 1))
+        for j in range(m):
+            product = (factor[:, j, :, None] * product[:, None, :]).reshape(n, -1)
+        scale = w * value[:, None, None] * (bit - z[:, :, None]) / factor
+        for j in range(m):
+            split = (n, 1 << (m - 1 - j), 2, 1 << j)
+            tables[:, j].reshape(split)[...] += product.reshape(split) * scale[:, j, None, :, None]
+    return tables
+
+
+def _pattern_values(codes: np.ndarray, z: np.ndarray, value: float) -> np.ndarray:
+    """Contributions (feature, pattern) of one leaf for the given patterns only."""
+    m = len(z)
+    o = ((codes >> np.arange(m)[:, None]) & 1).astype(float)
+    total = np.zeros(o.shape)
+    points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        factor = t * o + (1 - t) * z[:, None]
+        total += w * factor.prod(axis=0) / factor
+    return value * (o - z[:, None]) * total
+
+
+def _pattern_codes(x: np.ndarray, leaves: list[tuple], kind: type) -> np.ndarray:
+    """Bit pattern of every (row, leaf): bit j is set when condition j holds.
+
+    A value matters only through its place among the tree's thresholds of its
+    feature, so each feature adds one row of a small (place, leaf) table.
+    """
+    codes = np.zeros((len(x), len(leaves)), dtype=kind)
+    conditions: dict[int, list[tuple]] = {}
+    for leaf, (_, names, lows, highs, _) in enumerate(leaves):
+        for j, (f, low, high) in enumerate(zip(names.tolist(), lows.tolist(), highs.tolist())):
+            conditions.setdefault(f, []).append((leaf, 1 << j, low, high))
+    for f, rows in conditions.items():
+        leaf, bit, low, high = (np.array(part) for part in zip(*rows))
+        cuts = np.unique(np.concatenate([low, high]))
+        cuts = cuts[np.isfinite(cuts)]
+        # Place p holds the values in (cuts[p - 1], cuts[p]].
+        place = np.arange(len(cuts) + 1)[:, None]
+        first = np.where(np.isfinite(low), np.searchsorted(cuts, low) + 1, 0)
+        last = np.searchsorted(cuts, high)
+        table = np.zeros((len(cuts) + 1, len(leaves)), dtype=kind)
+        table[:, leaf] = np.where((place >= first) & (place <= last), bit, 0)
+        codes += table[np.searchsorted(cuts, x[:, f])]
+    return codes
 
 
 def shap_matrix(paths: list[list[tuple]], x: np.ndarray) -> np.ndarray:
     """Contributions of every row and feature, summed over all trees."""
-    phi = np.zeros(x.shape)
-    columns = np.ascontiguousarray(x.T)
-    out = np.ascontiguousarray(phi.T)
+    out = np.zeros((x.shape[1], len(x)))
     for leaves in paths:
-        for m, value, feature, low, high, z in _group_leaves(leaves):
-            tabled = m <= TABLE_BITS
-            table = _pattern_values(np.arange(1 << m), z, value) if tabled else None
-            for leaf in range(len(value)):
-                code = np.zeros(x.shape[0], dtype=np.int32 if m < 31 else np.int64)
-                for bit in range(m):
-                    v = columns[feature[leaf, bit]]
-                    code |= ((v > low[leaf, bit]) & (v <= high[leaf, bit])).astype(code.dtype) << bit
-                if tabled:
-                    values = table[leaf]
+        sizes = np.array([len(leaf[1]) for leaf in leaves])
+        codes = np.ascontiguousarray(_pattern_codes(x, leaves, np.uint16 if sizes.max() <= 15 else np.int64).T)
+        for m in np.unique(sizes[sizes > 0]):
+            members = np.flatnonzero(sizes == m)
+            z, value = np.array([leaves[i][4] for i in members]), np.array([leaves[i][0] for i in members])
+            tables = _pattern_tables(z, value) if m <= TABLE_BITS else None
+            for k, i in enumerate(members):
+                code = codes[i].astype(np.intp)
+                if tables is not None:
+                    table = tables[k]
                 else:
                     patterns, code = np.unique(code, return_inverse=True)
-                    values = _pattern_values(patterns, z[leaf:leaf + 1], value[leaf:leaf + 1])[0]
-                for bit in range(m):
-                    out[feature[leaf, bit]] += values[:, bit][code]
+                    table = _pattern_values(patterns, z[k], value[k])
+                for j, f in enumerate(leaves[i][1]):
+                    out[f] += table[j].take(code)
     return out.T
 
 

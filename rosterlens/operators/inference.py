@@ -25,7 +25,7 @@ def aliased_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     its size does not depend on the rows); eliminating in column order, a pivot
     near zero marks a redundant column.
     """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df).select("_v")
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df.select(*columns)).select("_v")
     gram = Correlation.corr(vectors, "_v").first()[0].toArray()
     aliased, kept = [], []
     residual = np.array(gram, dtype=float)
@@ -48,8 +48,8 @@ def logit_inference(train: DataFrame, columns: Sequence[str] = fv.FEATURES, labe
     """
     aliased = aliased_columns(train, columns)
     used = [c for c in columns if c not in aliased]
-    data = VectorAssembler(inputCols=used, outputCol="features").transform(
-        train.withColumn(label, F.col(label).cast("double"))).select(label, "features").persist()
+    numbers = train.select(F.col(label).cast("double").alias(label), *used)
+    data = VectorAssembler(inputCols=used, outputCol="features").transform(numbers).select(label, "features").persist()
     try:
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", labelCol=label, maxIter=50, tol=1e-10, regParam=0.0).fit(data)

@@ -20,7 +20,7 @@ def prepare(hr: DataFrame, path: str, seed: int = fv.SEED) -> tuple[DataFrame, P
     (id, flag, raw features, split, vector).  Writing it cuts the lineage, so
     the split is computed once and lost executors only cost a re-read.
     """
-    frame = prep.model_frame(hr)
+    frame = prep.model_frame(models.spread(hr))
     encoder = prep.feature_pipeline().fit(frame)
     split = prep.stratified_split(prep.design_matrix(frame, encoder), seed=seed)
     return create_or_replace(split, f"{path}/design"), encoder

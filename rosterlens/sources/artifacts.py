@@ -36,7 +36,7 @@ def save_artifacts(path: str, encoder: PipelineModel, forest: RandomForestClassi
     order = spark.createDataFrame(list(enumerate(features)), "position int, feature string")
     order.coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
     defaults.coalesce(1).write.mode("overwrite").parquet(f"{path}/defaults")  # one row per feature
-    return load_artifacts(spark, path)
+    return RiskModel(path, encoder, forest, tuple(features), spark.read.parquet(f"{path}/defaults"))
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
