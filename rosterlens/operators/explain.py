@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlens.functions import expressions as ex
 from rosterlens.functions import fixed_values as fv
@@ -186,14 +187,15 @@ def explain_forest(df: DataFrame, forest_path: str, id_column: str = fv.ID, vect
     paths = spark.sparkContext.broadcast(load_paths(spark, forest_path))
     keys = [id_column, *carry]
     source = df.select(*keys, vector_to_array(vector).alias("_x"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    vectors = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("_shap", vectors), T.StructField("_x", vectors)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _joined(batches):
             x = np.stack(frame["_x"].to_numpy())
             yield frame[keys].assign(_shap=list(shap_matrix(paths.value, x)), _x=frame["_x"])
 
-    raw = source.mapInPandas(run, f"{fields}, _shap array<double>, _x array<double>")
+    raw = source.mapInPandas(run, schema)
     names = F.array(*map(F.lit, features))
     zipped = F.transform(F.arrays_zip(names.alias("f"), F.col("_x").alias("v"), F.col("_shap").alias("s")),
                          lambda c: F.struct(c["f"].alias("feature"), c["v"].alias("value"), c["s"].alias("shap")))
