@@ -67,12 +67,12 @@ EXPLAINED_FEATURES = fv.NUMERIC_FEATURES + fv.DERIVED_FEATURES
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic contributions of 25 features for every employee."""
     frame = hr_raw(spark, sf_dir).withColumns(ex.derived_features())
-
-    def entry(i: int, feature: str) -> Column:
-        shap = ((F.col(fv.ID) * (7919 + 2 * i) + i * 131) % 2001 - 1000) / F.lit(10000.0)
-        return F.struct(F.lit(feature).alias("feature"), F.col(feature).cast("double").alias("value"), shap.alias("shap"))
-
-    return frame.select(fv.ID, F.array(*[entry(i, f) for i, f in enumerate(EXPLAINED_FEATURES, 1)]).alias("contributions"))
+    names = F.array(*map(F.lit, EXPLAINED_FEATURES))
+    values = F.array(*[F.col(c).cast("double") for c in EXPLAINED_FEATURES])
+    shaps = F.transform(F.sequence(F.lit(1), F.lit(len(EXPLAINED_FEATURES))), lambda i: (
+        (F.col(fv.ID) * (7919 + 2 * i) + i * 131) % 2001 - 1000) / F.lit(10000.0))
+    zipped = F.arrays_zip(names.alias("feature"), values.alias("value"), shaps.alias("shap"))
+    return frame.select(fv.ID, zipped.alias("contributions"))
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
