@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions import expressions as ex
 from rosterlens.functions import fixed_values as fv
 from rosterlens.operators import explain, inference, metrics, models, prep, profile, reports, risk, scoring
-from rosterlens.plans import attrition
+from rosterlens.plans import attrition, report_pack
 from rosterlens.sources import tables
 from rosterlens.sources.artifacts import RiskModel, load_or_fit
 from rosterlens.sources.hr_fixture import fixed_score, hr_raw
@@ -325,6 +325,9 @@ _on_employees("income_histogram", lambda hr: reports.histogram_by_class(
         c: ex.round_to(c, 6) for c in ("bin_start", "bin_end")}))
 
 
+_on_employees("all_segment_reports", report_pack.all_segment_reports)
+
+
 @query
 def income_quartiles_approximate(spark, sf_dir):
     return reports.income_quartiles(hr_raw(spark, sf_dir), approximate=True)

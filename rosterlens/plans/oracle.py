@@ -417,3 +417,22 @@ ORACLE: dict[str, str] = {
         FROM profiles""", _PROFILES),
 }
 ORACLE["segment_role_department_200"] = ORACLE["segment_role_department"].replace("headcount >= 15", "headcount >= 200")
+
+
+def _segment_reports() -> str:
+    measures = f"""count(*) AS total, {_LEFT} AS attrited, {_RATE}, {_avg('MonthlyIncome', 0, 'avg_monthly_income')},
+        {_avg('Age', 1, 'avg_age')}, {_avg('YearsAtCompany', 1, 'avg_tenure_years')},
+        {_avg('JobSatisfaction', 2, 'avg_satisfaction')}, count(*) FILTER (WHERE OverTime = 'Yes') AS overtime_headcount"""
+    null = "CAST(NULL AS VARCHAR)"
+    parts = [
+        ("workforce", null, null, ""), ("department", "Department", null, ""), ("age_group", _AGE, null, ""),
+        ("tenure", _TENURE, null, ""), ("satisfaction_overtime", "CAST(JobSatisfaction AS VARCHAR)", "OverTime", ""),
+        ("role", "JobRole", null, ""), ("role_department", "Department", "JobRole", ""),
+        ("marital_overtime", "MaritalStatus", "OverTime", ""), ("income_satisfaction", _INCOME, _SATISFACTION, ""),
+        ("promotion", _PROMOTION, null, ""), ("triple_risk_department", "Department", null, f"WHERE {_TRIPLE}")]
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS report, {a} AS key1, {b} AS key2, {measures} FROM hr {where} "
+        + ("" if name == "workforce" else "GROUP BY 2, 3") for name, a, b, where in parts)
+
+
+ORACLE["all_segment_reports"] = _hr(_segment_reports())
