@@ -161,6 +161,30 @@ def triple_risk_total(outcome: DataFrame) -> DataFrame:
                        ex.pct(left, total, 0).alias("left_pct"))
 
 
+# --- watch lists ------------------------------------------------------------------
+
+def promotion_watchlist(df: DataFrame) -> DataFrame:
+    """Two years or more in the role, rated 3 or better, no promotion in the last cycle."""
+    return df.where((F.col("YearsInCurrentRole") >= 2) & (F.col("PerformanceRating") >= 3)
+                    & (F.col("YearsSinceLastPromotion") >= 1))
+
+
+def income_threshold(df: DataFrame, p: float) -> Column:
+    """Exact income quantile as a scalar."""
+    return exact_quantiles(df, "MonthlyIncome", {"q": p}).select("q").scalar()
+
+
+def low_pay_low_satisfaction(df: DataFrame) -> DataFrame:
+    """Bottom income quartile with a composite below 2.5, by department."""
+    low = (F.col("MonthlyIncome") <= income_threshold(df, 0.25)) & (ex.satisfaction_composite() < 2.5)
+    return rate_by(df.where(low), ["Department"])
+
+
+def below_median_low_satisfaction(df: DataFrame) -> DataFrame:
+    """People paid below the median whose job satisfaction is 1 or 2."""
+    return df.where((F.col("MonthlyIncome") < income_threshold(df, 0.5)) & F.col("JobSatisfaction").isin(1, 2))
+
+
 # --- quantiles --------------------------------------------------------------------
 
 def income_quartiles(df: DataFrame, by: str = fv.TARGET, column: str = "MonthlyIncome",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions import fixed_values as fv
-from rosterlens.operators import models, prep, risk
+from rosterlens.operators import explain, models, prep, risk
 from rosterlens.sources.artifacts import RiskModel, save_artifacts
 from rosterlens.sources.tables import create_or_replace
 
@@ -49,3 +49,13 @@ def risk_frame(model: RiskModel, design: DataFrame, scope: str = "all") -> DataF
     rows = design if scope == "all" else design.where(F.col("split") == "test")
     scored = models.score(model.forest, rows, risk.SCORE, predicted="predicted")
     return risk.assign_tiers(scored.withColumnRenamed(fv.FLAG, risk.ACTUAL))
+
+
+def store_explanations(model: RiskModel, design: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Explain every row of the design once and keep the result.
+
+    The explanation reports read it several times; without storing it, each
+    pass would compute all contributions again.
+    """
+    explained = explain.explain_forest(models.spread(design), model.forest_path, features=model.features, carry=carry)
+    return create_or_replace(explained, path)

@@ -325,6 +325,11 @@ _on_employees("income_histogram", lambda hr: reports.histogram_by_class(
         c: ex.round_to(c, 6) for c in ("bin_start", "bin_end")}))
 
 
+_on_employees("promotion_watchlist", lambda hr: reports.promotion_watchlist(hr).select(
+    fv.ID, "Department", "YearsInCurrentRole", "PerformanceRating", "YearsSinceLastPromotion"))
+_on_employees("low_pay_low_satisfaction", reports.low_pay_low_satisfaction)
+_on_employees("below_median_low_satisfaction", lambda hr: reports.below_median_low_satisfaction(hr).select(
+    fv.ID, "Department", "MonthlyIncome", "JobSatisfaction"))
 _on_employees("all_segment_reports", report_pack.all_segment_reports)
 
 
@@ -581,9 +586,29 @@ def leavers_caught(spark, sf_dir):
 @query
 def explain_forest(spark, sf_dir):
     """Exact contributions of every feature for every employee, on the trained forest."""
+    return explain.to_long(_explanations(spark, sf_dir))
+
+
+def _explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored explanations of the trained forest, computed on first use."""
+    path = _scratch(spark, sf_dir, "explanations")
+    if tables.path_exists(spark, f"{path}/_SUCCESS"):
+        return tables.read_table(spark, path)
     model = _model(spark, sf_dir)
-    design = models.spread(attrition.design_of(model))
-    return explain.to_long(explain.explain_forest(design, model.forest_path, features=model.features))
+    return attrition.store_explanations(model, attrition.design_of(model), path)
+
+
+@query
+def forest_shap_importance(spark, sf_dir):
+    """Mean absolute contributions on the trained forest."""
+    return explain.shap_importance(_explanations(spark, sf_dir))
+
+
+@query
+def forest_waterfall(spark, sf_dir):
+    """Steps from the base value to the prediction for every employee, on the trained forest."""
+    nodes = explain.node_table(spark, _model(spark, sf_dir).forest_path)
+    return explain.waterfall(_explanations(spark, sf_dir), explain.base_value(nodes))
 
 
 @query

@@ -315,6 +315,15 @@ ORACLE: dict[str, str] = {
     "top_segments": _hr(f"""SELECT Department || ' / ' || JobRole AS segment, count(*) AS headcount, {_RATE}
         FROM hr GROUP BY Department, JobRole HAVING count(*) >= 15 ORDER BY headcount DESC, segment LIMIT 15"""),
 
+    # watch lists
+    "promotion_watchlist": _hr("""SELECT EmployeeNumber, Department, YearsInCurrentRole, PerformanceRating, YearsSinceLastPromotion
+        FROM hr WHERE YearsInCurrentRole > 1 AND PerformanceRating > 2 AND YearsSinceLastPromotion > 0"""),
+    "low_pay_low_satisfaction": _hr(f"""SELECT Department, count(*) AS total, {_LEFT} AS attrited, {_RATE} FROM hr
+        WHERE MonthlyIncome <= (SELECT quantile_cont(MonthlyIncome, 0.25) FROM hr)
+        AND JobSatisfaction + EnvironmentSatisfaction + RelationshipSatisfaction + WorkLifeBalance < 10 GROUP BY 1"""),
+    "below_median_low_satisfaction": _hr("""SELECT EmployeeNumber, Department, MonthlyIncome, JobSatisfaction FROM hr
+        WHERE MonthlyIncome < (SELECT median(MonthlyIncome) FROM hr) AND JobSatisfaction < 3"""),
+
     # preparation
     "label_encode": _hr("SELECT EmployeeNumber, " + ", ".join(
         f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}" for c in fv.CATEGORICAL_FEATURES) + " FROM hr"),
