@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions import fixed_values as fv
 from rosterlens.operators import explain, models, prep, risk
 from rosterlens.sources.artifacts import RiskModel, save_artifacts
-from rosterlens.sources.tables import create_or_replace
+from rosterlens.sources.tables import create_or_replace, settle
 
 READABLE = ("Department", "JobRole", "OverTime")
 
@@ -27,11 +29,16 @@ def prepare(hr: DataFrame, path: str, seed: int = fv.SEED) -> tuple[DataFrame, P
 
 
 def train_risk_model(hr: DataFrame, path: str, scope: str = "all", seed: int = fv.SEED, **forest) -> RiskModel:
-    """Train on all rows or, with ``scope='train'``, on the 80 percent split, and save."""
-    design, encoder = prepare(hr, path, seed)
-    rows = design if scope == "all" else design.where(F.col("split") == "train")
-    fitted = models.fit_forest(rows, seed=seed, **forest)
-    return save_artifacts(path, encoder, fitted, fv.FEATURES, prep.default_values(prep.model_frame(hr)))
+    """Train on all rows or, with ``scope='train'``, on the 80 percent split, and save.
+
+    The default values do not depend on the forest, so their jobs run beside it.
+    """
+    with ThreadPoolExecutor(1) as pool:
+        defaults = pool.submit(lambda: settle(prep.default_values(prep.model_frame(hr))))
+        design, encoder = prepare(hr, path, seed)
+        rows = design if scope == "all" else design.where(F.col("split") == "train")
+        fitted = models.fit_forest(rows, seed=seed, **forest)
+        return save_artifacts(path, encoder, fitted, fv.FEATURES, defaults.result())
 
 
 def design_of(model: RiskModel) -> DataFrame:
