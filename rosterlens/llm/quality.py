@@ -59,9 +59,10 @@ def repeated_words(words: Column, width: int = 3) -> Column:
             lambda i: F.get(tagged, i)["i"])
 
     def covered(places: Column) -> Column:
+        # The gap behind the last place is null, and counts nothing beyond its own window.
+        gaps = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: b - a)
         return F.when(F.size(places) == 0, F.lit(0)).otherwise(width + F.aggregate(
-            F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.least(b - a, F.lit(width))),
-            F.lit(0), lambda total, gap: total + F.coalesce(gap, F.lit(0))))
+            gaps, F.lit(0), lambda total, gap: total + F.when(gap < width, gap).when(gap.isNull(), 0).otherwise(width)))
 
     windows = lambda w: F.transform(
         F.sequence(F.lit(0), F.size(w) - width),
