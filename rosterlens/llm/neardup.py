@@ -12,12 +12,15 @@ of 32; a pair with J = 0.85 shares no key with probability 2e-8.
 Keys only propose.  Every proposed pair is confirmed on the full shingle sets.
 
 How large groups are handled.  Documents with equal shingle sets form one class
-and are one row from then on.  In each key's bucket the members are first
-compared with the bucket's smallest member alone, which joins a group of g near
-copies by g pairs.  Only buckets that still hold several components are looked
-at again: members outside the bucket's largest component are compared with the
-rest.  Every pair that shares a key is thus either confirmed, refuted, or
-already inside one component.
+and are one row from then on.  In each key's bucket the members are compared
+with one pivot: first the smallest member, then, in buckets that still hold
+several components, the member with the most links so far.  That joins a group
+of g near copies by about g pairs.  What is left are classes that share a
+bucket with a component they may not belong to.  For them an exact prefix
+filter follows: with all shingles ordered by rarity, two sets of the wanted
+similarity share one of their rarest shingles, so only classes that do are
+compared, and never two of one component.  Every pair that shares a key is thus
+confirmed, refuted, or already inside one component.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ PERCENT = 85  # linked when 100 * intersection >= PERCENT * union
 CHUNKS, ROWS, ERRORS, BITS = 8, 4, 1, 16
 POSITIONS = CHUNKS * ROWS
 MAX_DISTANCE = 19  # pairs farther apart are dropped unread; at J = 0.85 more than 19 of 32 differ once in 10^9
+PIVOT_ROUNDS = 2  # rounds with the best linked member of a bucket as its pivot
+COUNTERS = 1 << 20  # counters that estimate how often a shingle occurs; the estimate only orders the work
 SLICE = 4096  # shingles hashed at once
 
 _SPACE = np.zeros(256, bool)
@@ -156,16 +161,13 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Data
     ).select("a", "b", "n_a", "n_b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str,
-              percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of classes that are linked by their full shingle sets.
+def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(class, shingles) of the classes in ``wanted``, stored.
 
-    Only the texts of classes that occur in a pair are read again, one per
-    class: by the class's smallest id, then by the print of the set itself.
+    Only texts with one of their ids are read again, one per class: by the
+    class's smallest id, then by the print of the set itself.
     """
-    close = stored(_close(pairs, classes, percent), "close")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select(
-        "class", "print", "first_id")
+    wanted = wanted.select("class").distinct().join(classes, "class").select("class", "print", "first_id")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +180,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column:
     texts = docs.select(F.col(id_column).alias("_doc"), F.col(text).alias("text")).join(
         ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("text")
     found = texts.mapInArrow(full, _schema(("print", T.BinaryType()), ("shingles", T.ArrayType(T.LongType()))))
-    sets = stored(wanted.select("class", "print").join(found, "print").dropDuplicates(["class"]).select("class", "shingles"), "sets")
+    return stored(wanted.select("class", "print").join(found, "print").dropDuplicates(["class"]).select("class", "shingles"), "sets")
+
+
+def confirmed(close: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of classes that are linked by their full shingle sets."""
     both = close.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -221,18 +227,37 @@ def components(edges: DataFrame) -> DataFrame:
         current.select(F.col("b").alias("class"), F.col("b").alias("component"))).distinct()
 
 
+def _placed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    return members.select("key", "class").join(groups, "class", "left").select(
+        "key", "class", F.coalesce("component", "class").alias("component"))
+
+
+def _pivot_pairs(members: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's best linked member with the members of other components."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
+    placed = stored(_placed(members, groups), "placed")
+    ranked = placed.join(degrees, "class", "left").withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)), -F.col("class")))
+    pivots = ranked.groupBy("key").agg(F.max_by(F.struct("class", "component"), "rank").alias("pivot"),
+                                       F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return placed.join(pivots.select("key", "pivot"), "key").where(F.col("component") != F.col("pivot.component")).select(
+        F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).distinct()
+
+
 def _split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key, from buckets that hold several components.
+    """(key, class, component, largest) of the members of buckets that hold several components."""
+    placed = _placed(members, groups)
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
+                                       F.count(F.lit(1)).alias("several")).where("several > 1")
+    return stored(placed.join(largest.select("key", "largest"), "key"), "split")
+
+
+def _cross_pairs(split: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a key.
 
     Members outside a bucket's largest component meet the bucket's other
     members; two members of the largest component never do.
     """
-    placed = members.select("key", "class").join(groups, "class", "left").select(
-        "key", "class", F.coalesce("component", "class").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
-                                       F.count(F.lit(1)).alias("several")).where("several > 1")
-    split = stored(placed.join(largest.select("key", "largest"), "key"), "split")
     minor = split.where(F.col("component") != F.col("largest")).select(
         "key", F.col("class").alias("m"), F.col("component").alias("m_component"))
     other = minor.join(split, "key").where(
@@ -241,6 +266,43 @@ def _split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     return other.select(F.least("class", "m").alias("a"), F.greatest("class", "m").alias("b")).distinct()
 
 
+def _rare_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, class): the rarest shingles of every set, as many as the prefix filter needs.
+
+    A set of n shingles that reaches the similarity with another shares with it
+    all but (100 - percent) percent of its own, so the first n - ceil(percent *
+    n / 100) + 1 in any fixed order hold a common one.  The order is by counts
+    in ``COUNTERS`` hashed counters, which are collected as one bounded array.
+    """
+    def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            values = batch.column("shingles").flatten().to_numpy()
+            total += np.bincount(values & (COUNTERS - 1), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+
+    counted = sets.select("shingles").mapInArrow(counters, _schema(("counter", T.LongType()), ("n", T.LongType()))).groupBy(
+        "counter").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(COUNTERS, np.int64)
+    table[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    often = sets.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, owners = [], []
+            for name, shingles in zip(batch.column("class").to_pylist(), batch.column("shingles")):
+                values = shingles.values.to_numpy()
+                order = np.lexsort((values, often.value[values & (COUNTERS - 1)]))
+                first = values[order[:len(values) - -(-percent * len(values) // 100) + 1]]
+                keys.append(first)
+                owners.append(np.full(len(first), name, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "class"])
+
+    return sets.mapInArrow(rarest, _schema(("key", T.LongType()), ("class", T.LongType())))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
@@ -262,12 +324,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("pivot")).where("n > 1")
     members = stored(keys.join(buckets.select("key", "pivot"), "key"), "members")
 
-    first_pairs = members.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    tested = stored(first_pairs, "tested")
-    links = stored(confirmed(tested, classes, docs, id_column, text, percent), "links")
+    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        close = stored(_close(pairs, classes, percent), "close")
+        if sets is None:
+            sets = class_sets(close.select(F.explode(F.array("a", "b")).alias("class")), classes, docs, id_column, text)
+        return stored(confirmed(close, sets, percent), "links")
+
+    tested = stored(members.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "tested")
+    links = linked(tested)
     groups = stored(components(links), "groups")
-    rest = _split_buckets(members, groups).join(tested, ["a", "b"], "left_anti")
-    more = stored(confirmed(rest, classes, docs, id_column, text, percent), "more")
+    for _ in range(PIVOT_ROUNDS):
+        pairs = stored(_pivot_pairs(members, groups, links).join(tested, ["a", "b"], "left_anti"), "tested")
+        more = linked(pairs)
+        tested, links = tested.unionByName(pairs), links.unionByName(more)
+        if more.isEmpty():
+            break
+        groups = stored(components(links), "groups")
+    undecided = _split_buckets(members, groups)
+    sets = class_sets(undecided, classes, docs, id_column, text)
+    more = linked(_cross_pairs(_split_buckets(_rare_shingles(sets, percent), groups)).join(tested, ["a", "b"], "left_anti"), sets)
     if not more.isEmpty():
         groups = stored(components(links.unionByName(more)), "groups")
 
