@@ -16,11 +16,11 @@ and are one row from then on.  In each key's bucket the members are compared
 with one pivot: first the smallest member, then, in buckets that still hold
 several components, the member with the most links so far.  That joins a group
 of g near copies by about g pairs.  What is left are classes that share a
-bucket with a component they may not belong to.  For them an exact prefix
-filter follows: with all shingles ordered by rarity, two sets of the wanted
-similarity share one of their rarest shingles, so only classes that do are
-compared, and never two of one component.  Every pair that shares a key is thus
-confirmed, refuted, or already inside one component.
+bucket with a component they may not belong to.  For these, members outside a
+bucket's largest component are compared with the bucket's other members, block
+by block, through an inverted file of 16 bits of every shingle.  That bounds the
+intersection from above, so only pairs that may be linked become rows.  Every pair that shares a key is thus confirmed,
+refuted, or already inside one component.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ CHUNKS, ROWS, ERRORS, BITS = 8, 4, 1, 16
 POSITIONS = CHUNKS * ROWS
 MAX_DISTANCE = 19  # pairs farther apart are dropped unread; at J = 0.85 more than 19 of 32 differ once in 10^9
 PIVOT_ROUNDS = 2  # rounds with the best linked member of a bucket as its pivot
-COUNTERS = 1 << 20  # counters that estimate how often a shingle occurs; the estimate only orders the work
+BLOCK = 4096  # members of a bucket that one task compares others with
 SLICE = 4096  # shingles hashed at once
 
 _SPACE = np.zeros(256, bool)
@@ -244,63 +244,83 @@ def _pivot_pairs(members: DataFrame, groups: DataFrame, links: DataFrame) -> Dat
 
 
 def _split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, class, component, largest) of the members of buckets that hold several components."""
+    """(key, class, component, largest, members) of the members of buckets that hold several components."""
     placed = _placed(members, groups)
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
-                                       F.count(F.lit(1)).alias("several")).where("several > 1")
-    return stored(placed.join(largest.select("key", "largest"), "key"), "split")
-
-
-def _cross_pairs(split: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key.
-
-    Members outside a bucket's largest component meet the bucket's other
-    members; two members of the largest component never do.
+                                       F.count(F.lit(1)).alias("several"), F.sum("n").alias("members")).where("several > 1")
+    return stored(placed.join(largest.select("key", "largest", "members"), "key"), "split")
+
+
+class _Bucket:
+    """The rows of one block of a bucket: held members, and members that ask for links to them."""
+
+    def __init__(self, percent: int):
+        self.percent, self.held, self.asking = percent, [], []
+
+    def pairs(self) -> list[np.ndarray]:
+        """(asker, member) rows of different components that may be linked; forgets the askers."""
+        found: list[np.ndarray] = []
+        if self.asking and self.held:
+            names, components, sizes = (np.array([row[i] for row in self.held]) for i in range(3))
+            lengths = np.array([len(row[3]) for row in self.held])
+            values = np.concatenate([row[3] for row in self.held])
+            order = np.argsort(values, kind="stable")
+            values, owners = values[order], np.repeat(np.arange(len(lengths)), lengths)[order]
+            for name, component, size, own in self.asking:
+                first, last = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+                counts = last - first
+                hits = np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)
+                # 16 bits may stand for several shingles of a set, so those count as shared.
+                shared = np.bincount(owners[hits], minlength=len(lengths)) + np.minimum(size - len(own), sizes - lengths)
+                near = np.flatnonzero((100 * shared >= self.percent * (size + sizes - shared)) & (components != component))
+                if len(near):
+                    found.append(np.stack([np.full(len(near), name), names[near]], axis=1))
+        self.asking = []
+        return found
+
+
+def _cross_pairs(split: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may be linked.
+
+    Members outside a bucket's largest component ask, all members are held.  A
+    bucket above ``BLOCK`` members is cut into blocks; its askers go to each.
     """
-    minor = split.where(F.col("component") != F.col("largest")).select(
-        "key", F.col("class").alias("m"), F.col("component").alias("m_component"))
-    other = minor.join(split, "key").where(
-        (F.col("component") != F.col("m_component"))
-        & ((F.col("component") == F.col("largest")) | (F.col("class") < F.col("m"))))
-    return other.select(F.least("class", "m").alias("a"), F.greatest("class", "m").alias("b")).distinct()
-
-
-def _rare_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, class): the rarest shingles of every set, as many as the prefix filter needs.
-
-    A set of n shingles that reaches the similarity with another shares with it
-    all but (100 - percent) percent of its own, so the first n - ceil(percent *
-    n / 100) + 1 in any fixed order hold a common one.  The order is by counts
-    in ``COUNTERS`` hashed counters, which are collected as one bounded array.
-    """
-    def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+    short = F.array_distinct(F.transform("shingles", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short")))
+    test = classes.select("class", "n_shingles").join(sets.select("class", short.alias("short")), "class")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    place = lambda block, holds, asks: F.struct(block.alias("block"), holds.alias("holds"), asks.alias("asks"))
+    outside, true, false = F.col("component") != F.col("largest"), F.lit(True), F.lit(False)
+    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    places = F.when(blocks == 1, F.array(place(F.lit(0), true, outside))).when(~outside, F.array(place(own, true, false))).otherwise(
+        F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: place(b, b == own, true)))
+    rows = split.select("key", "class", "component", F.explode(places).alias("at")).join(test, "class").select(
+        "key", "at.block", "at.holds", "at.asks", "class", "component", "n_shingles", "short")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if found:
+                both = np.sort(np.concatenate(found), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        current, bucket = None, _Bucket(percent)
         for batch in batches:
-            values = batch.column("shingles").flatten().to_numpy()
-            total += np.bincount(values & (COUNTERS - 1), minlength=COUNTERS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
-
-    counted = sets.select("shingles").mapInArrow(counters, _schema(("counter", T.LongType()), ("n", T.LongType()))).groupBy(
-        "counter").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(COUNTERS, np.int64)
-    table[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
-    often = sets.sparkSession.sparkContext.broadcast(table)
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, owners = [], []
-            for name, shingles in zip(batch.column("class").to_pylist(), batch.column("shingles")):
-                values = shingles.values.to_numpy()
-                order = np.lexsort((values, often.value[values & (COUNTERS - 1)]))
-                first = values[order[:len(values) - -(-percent * len(values) // 100) + 1]]
-                keys.append(first)
-                owners.append(np.full(len(first), name, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "class"])
-
-    return sets.mapInArrow(rarest, _schema(("key", T.LongType()), ("class", T.LongType())))
+            columns = [batch.column(c).to_pylist() for c in ("key", "block", "holds", "asks", "class", "component", "n_shingles")]
+            for key, block, holds, asks, name, component, size, values in zip(*columns, batch.column("short")):
+                if (key, block) != current:
+                    yield from answer(bucket.pairs())
+                    current, bucket = (key, block), _Bucket(percent)
+                row = (name, component, size, values.values.to_numpy())
+                if holds:
+                    bucket.held.append(row)
+                if asks:
+                    bucket.asking.append(row)
+                if not holds and len(bucket.asking) >= BLOCK:  # held members come first, so the block is complete
+                    yield from answer(bucket.pairs())
+        yield from answer(bucket.pairs())
+
+    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("holds"))
+    return dealt.mapInArrow(compare, _schema(("a", T.LongType()), ("b", T.LongType()))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -342,7 +362,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         groups = stored(components(links), "groups")
     undecided = _split_buckets(members, groups)
     sets = class_sets(undecided, classes, docs, id_column, text)
-    more = linked(_cross_pairs(_split_buckets(_rare_shingles(sets, percent), groups)).join(tested, ["a", "b"], "left_anti"), sets)
+    more = linked(_cross_pairs(undecided, classes, sets, percent).join(tested, ["a", "b"], "left_anti"), sets)
     if not more.isEmpty():
         groups = stored(components(links.unionByName(more)), "groups")
 
