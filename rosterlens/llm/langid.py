@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 BITS = 13
 DIMENSIONS = 1 << BITS
 CENTROIDS, ROUNDS = 4, 12
-SAMPLE_ROWS = 600
+SAMPLE_ROWS = 400
 SAMPLE_TASKS = 16
 MIN_COSINE = 0.1
-BATCH = 256
+BATCH = 64
 UNKNOWN = "und"
 # Odd multipliers for the places of an n-gram, by n.
 _MULTIPLIERS = {1: (0x9E3779B1,), 2: (0x85EBCA6B, 0xC2B2AE35), 3: (0x27D4EB2F, 0x165667B1, 0xD3A2646D)}
@@ -39,7 +39,7 @@ _MULTIPLIERS = {1: (0x9E3779B1,), 2: (0x85EBCA6B, 0xC2B2AE35), 3: (0x27D4EB2F, 0
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """True for each code point that is a letter."""
-    return np.array([chr(i).isalpha() for i in range(0x110000)])
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def ngram_counts(text: str | None) -> np.ndarray | None:
@@ -54,7 +54,7 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     edge = np.zeros(1, np.uint32)
     codes = np.concatenate([edge, codes, edge])
     codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]  # one edge between words
-    counts = np.zeros(DIMENSIONS, np.int64)
+    counts = np.zeros(DIMENSIONS, np.int32)
     for n, multipliers in _MULTIPLIERS.items():
         if len(codes) < n:
             continue
@@ -63,18 +63,19 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
             hashed = hashed + codes[i:len(codes) - n + 1 + i] * np.uint32(multiplier)
         hashed ^= hashed >> np.uint32(15)
         hashed *= np.uint32(0x2C1B3C6D)
-        counts += np.bincount(hashed >> np.uint32(32 - BITS), minlength=DIMENSIONS)
+        counts += np.bincount(hashed >> np.uint32(32 - BITS), minlength=DIMENSIONS).astype(np.int32)
     return counts
 
 
 def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows with a letter, their TF-IDF vectors of length one)."""
-    found = [(i, c) for i, c in ((i, ngram_counts(t)) for i, t in enumerate(texts)) if c is not None]
-    if not found:
-        return np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32)
-    weighted = np.log1p(np.stack([c for _, c in found])) * idf
-    weighted /= np.linalg.norm(weighted, axis=1, keepdims=True)
-    return np.array([i for i, _ in found]), weighted.astype(np.float32)
+    """(rows with a letter, their TF-IDF vectors of length one), made one text at a time."""
+    places, rows = [], []
+    for place, counts in enumerate(map(ngram_counts, texts)):
+        if counts is not None:
+            weighted = np.log1p(counts, dtype=np.float32) * idf
+            rows.append(weighted / np.linalg.norm(weighted))
+            places.append(place)
+    return np.array(places, int), np.stack(rows) if rows else np.zeros((0, DIMENSIONS), np.float32)
 
 
 def spherical_means(rows: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
