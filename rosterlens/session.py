@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,8 +15,11 @@ def local_session(cores: int | str = "*", app: str = "rosterlens", **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false"))
+    if "spark__checkpoint__dir" not in conf:  # one process, so a local folder is shared by all of it
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rosterlens-"))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

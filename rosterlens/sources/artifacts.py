@@ -43,6 +43,13 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path}/defaults/_SUCCESS")
 
 
+def discard_artifacts(spark: SparkSession, path: str) -> None:
+    """Remove the mark of completion: what stands in the folder is no longer a model."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/defaults")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(mark, True)
+
+
 def load_artifacts(spark: SparkSession, path: str) -> RiskModel:
     order = spark.read.parquet(f"{path}/features").orderBy("position").collect()  # one row per feature
     return RiskModel(

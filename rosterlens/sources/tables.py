@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 from functools import lru_cache
@@ -96,24 +97,33 @@ def preview(df: DataFrame, n: int = 3) -> DataFrame:
 
 
 @lru_cache(maxsize=None)
-def _fallback_dir(application_id: str) -> str:
+def _local_dir(application_id: str) -> str:
     return tempfile.mkdtemp(prefix="rosterlens-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, for checkpoints and model artifacts.
+    """Folder every executor can reach, for checkpoints, intermediate tables and model artifacts.
 
-    Comes from ``spark.checkpoint.dir``.  Only a session without that setting,
-    such as a test, gets a temporary folder of its own.
+    ``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``,
+    else an error.  Only where the master is ``local``, so that driver and
+    executors are one process, does a session without either get a temporary
+    folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else _fallback_dir(spark.sparkContext.applicationId)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", context.master):
+        return _local_dir(context.applicationId)
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute the frame once and cut its lineage with a reliable checkpoint.
 
     For combined, small intermediate results that several later steps read.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go when
+    the frame is no longer referenced.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
