@@ -14,36 +14,33 @@ from rosterlens.functions import fixed_values as fv
 from rosterlens.operators.metrics import roc_auc
 from rosterlens.operators.prep import balanced_weights, stratified_folds
 
-# Row-to-node maps save a walk over all trees at every level, but take four
-# bytes per row and tree: use them only while that stays small.
-NODE_MAP_BUDGET = 8 * 1024**3
+# Bagging depends on the partitions of the training rows, so their number is a parameter of the model and never
+# follows the cluster.  Raise it with the table: a task should hold no more than a few million rows.
+FIT_PARTITIONS = 32
 
 
-def spread(df: DataFrame, key: str = fv.ID) -> DataFrame:
-    """Give a small input at least one partition per core.
-
-    A large input already has more partitions than cores and stays as it is.
-    Meant for stored frames, whose partition count is known without a job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def training_order(df: DataFrame, partitions: int = FIT_PARTITIONS, key: str = fv.ID) -> DataFrame:
+    """Rows in a fixed number of partitions, each sorted by id, so that a fit repeats on any cluster."""
+    return df.repartition(partitions, key).sortWithinPartitions(key)
 
 
 def fit_forest(train: DataFrame, label: str = fv.FLAG, features: str = "features", trees: int = fv.FOREST_TREES,
                depth: int = fv.FOREST_DEPTH, min_leaf: int = fv.FOREST_MIN_LEAF, seed: int = fv.SEED,
-               subsample: float = 1.0, rows: int | None = None) -> RandomForestClassificationModel:
+               subsample: float = 1.0, bootstrap: bool = True, fit_partitions: int = FIT_PARTITIONS,
+               keep_node_ids: bool = True) -> RandomForestClassificationModel:
     """Class-balanced forest with sqrt(features) candidates per split.
 
-    Every tree level of all trees is one distributed aggregation.  ``rows``
-    saves a count when the caller knows the size; ``subsample`` below 1 bags
-    less of a very large table per tree.
+    Every tree level of all trees is one distributed aggregation.  The forest
+    depends on rows, seed and ``fit_partitions`` only.  ``keep_node_ids`` saves
+    a walk over all trees at every level and takes four bytes per row and tree;
+    turn it off where the executors have no room for that.  ``subsample`` below
+    1 bags less of a very large table per tree.
     """
-    rows = train.count() if rows is None else rows
-    data = spread(train.select(fv.ID, features, F.col(label).cast("double").alias(label)))
+    data = training_order(train.select(fv.ID, features, F.col(label).cast("double").alias(label)), fit_partitions)
     return RandomForestClassifier(
         featuresCol=features, labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", subsamplingRate=subsample, seed=seed,
-        maxMemoryInMB=1024, cacheNodeIds=rows * trees * 4 <= NODE_MAP_BUDGET, checkpointInterval=10,
+        minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", subsamplingRate=subsample, seed=seed, bootstrap=bootstrap,
+        maxMemoryInMB=1024, cacheNodeIds=keep_node_ids, checkpointInterval=10,
     ).fit(balanced_weights(data, label))
 
 
@@ -74,7 +71,7 @@ def fold_aucs(df: DataFrame, label: str = fv.FLAG, features: str = "features", k
     """
     spark = df.sparkSession
     folded = stratified_folds(df.select(fv.ID, label, features), label, k=k, seed=seed)
-    folded = spread(folded).persist()
+    folded = training_order(folded).persist()
 
     def one(fold: int) -> tuple[int, float]:
         model = fit_forest(folded.where(F.col("fold") != fold), label, features, seed=seed, **forest)

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from rosterlens.sources.tables import settle
 
-BUCKETS = 256
-ONE_TASK_ROWS = 200_000  # counted rows that may be ordered in a single task
-HASH_PREFIX = 4  # hex digits: at most 65,536 buckets per class
+BUCKET_ROWS = 50_000  # counted rows in a bucket, about
+FEWEST_BUCKETS, MOST_BUCKETS = 8, 4096  # beyond the last, buckets grow; cut points are one array per plan
+HASH_PREFIX = 4  # hex digits: at most 65,536 prefixes per class, of which only those at a cut are ranked
 
 
 def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
@@ -45,23 +45,17 @@ def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
 
 
 def running_totals(distinct: DataFrame, value: str, sums: Sequence[str], group: Sequence[str] = (),
-                   buckets: int = BUCKETS, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+                   bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``cum_x`` (ascending, inclusive), ``total_x`` and ``_bucket``.
 
     ``distinct`` has one row per (group, value): combine first, so that a value
-    shared by a third of all rows is one row here.  It is settled once, then
-    counted: few values are ordered directly, more go through ``buckets`` (a
-    power of two), none of which holds much more than 1/buckets of them.
+    shared by a third of all rows is one row here.  It is settled once and
+    counted, which gives the number of buckets; one plan serves all sizes.
     """
     group = list(group)
     distinct = settle(distinct)
-    if distinct.count() <= one_task_rows:
-        everything = Window.partitionBy(*(group or [F.lit(0)]))
-        upto = everything.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return distinct.select("*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums],
-                               *[F.sum(s).over(everything).alias(f"total_{s}") for s in sums],
-                               F.lit(0).alias("_bucket"))
-
+    wanted = -(-distinct.count() // bucket_rows)
+    buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (wanted - 1).bit_length() if wanted > 1 else 1))
     keyed = _bucketed(distinct, value, buckets)
     # One row per (group, bucket): at most ``buckets`` rows in any window group.
     per_bucket = keyed.groupBy(*group, "_bucket").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
@@ -108,11 +102,12 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
     return found.select(*group, *results, *(["min", "max", "avg"] if moments else []))
 
 
-def approximate_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
-                          group: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
-    """One-pass quantiles with rank error of at most rows / ``accuracy``."""
+def approximate_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], group: Sequence[str] = (),
+                          moments: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """One-pass quantiles with rank error of at most rows / ``accuracy``; ``moments`` as in the exact form."""
+    extra = [F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg")] if moments else []
     return df.groupBy(*group).agg(*[F.percentile_approx(value, p, accuracy).cast("double").alias(name)
-                                    for name, p in probabilities.items()])
+                                    for name, p in probabilities.items()], *extra)
 
 
 # --- slices of the hash order ---------------------------------------------------

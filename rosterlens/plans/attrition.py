@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions import fixed_values as fv
 from rosterlens.operators import explain, models, prep, risk
-from rosterlens.sources.artifacts import RiskModel, save_artifacts
+from rosterlens.sources.artifacts import RiskModel, discard_artifacts, save_artifacts
 from rosterlens.sources.tables import create_or_replace, settle
 
 READABLE = ("Department", "JobRole", "OverTime")
@@ -19,20 +19,25 @@ READABLE = ("Department", "JobRole", "OverTime")
 def prepare(hr: DataFrame, path: str, seed: int = fv.SEED) -> tuple[DataFrame, PipelineModel]:
     """Store one design table that training, evaluation and scoring all read.
 
-    (id, flag, raw features, split, vector).  Writing it cuts the lineage, so
-    the split is computed once and lost executors only cost a re-read.
+    (id, flag, raw features, split, vector).  The source is read twice: to fit
+    the encoder and to store the rows with their vectors.  The split is found
+    and written from the stored rows, so lost executors only cost a re-read.
     """
-    frame = prep.model_frame(models.spread(hr))
+    frame = prep.model_frame(hr)
     encoder = prep.feature_pipeline().fit(frame)
-    split = prep.stratified_split(prep.design_matrix(frame, encoder), seed=seed)
-    return create_or_replace(split, f"{path}/design"), encoder
+    vectors = prep.design_matrix(frame, encoder).repartition(models.FIT_PARTITIONS, fv.ID)
+    rows = create_or_replace(vectors, f"{path}/rows")
+    return create_or_replace(prep.stratified_split(rows, seed=seed), f"{path}/design"), encoder
 
 
 def train_risk_model(hr: DataFrame, path: str, scope: str = "all", seed: int = fv.SEED, **forest) -> RiskModel:
     """Train on all rows or, with ``scope='train'``, on the 80 percent split, and save.
 
     The default values do not depend on the forest, so their jobs run beside it.
+    A model that stood in the folder stops being valid first, so a crash on the
+    way cannot leave a mixture that loads.
     """
+    discard_artifacts(hr.sparkSession, path)
     with ThreadPoolExecutor(1) as pool:
         defaults = pool.submit(lambda: settle(prep.default_values(prep.model_frame(hr))))
         design, encoder = prepare(hr, path, seed)
@@ -64,5 +69,5 @@ def store_explanations(model: RiskModel, design: DataFrame, path: str, carry: tu
     The explanation reports read it several times; without storing it, each
     pass would compute all contributions again.
     """
-    explained = explain.explain_forest(models.spread(design), model.forest_path, features=model.features, carry=carry)
+    explained = explain.explain_forest(design, model.forest_path, features=model.features, carry=carry)
     return create_or_replace(explained, path)

@@ -1,4 +1,4 @@
-"""Ranks, quantiles and slices against brute force, on both paths."""
+"""Ranks, quantiles and slices against brute force, with few and many buckets."""
 
 import hashlib
 import math
@@ -12,7 +12,7 @@ from rosterlens.operators import prep
 from rosterlens.operators.metrics import roc_auc, roc_curve
 from rosterlens.operators.ranking import exact_quantiles, running_totals
 
-BOTH_PATHS = pytest.mark.parametrize("ranking", [{}, {"one_task_rows": 0, "buckets": 8}], ids=["one task", "buckets"])
+BUCKETS = pytest.mark.parametrize("ranking", [{}, {"bucket_rows": 20}], ids=["few buckets", "many buckets"])
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "g string, v double").repartition(5).cache()
 
 
-@BOTH_PATHS
+@BUCKETS
 def test_running_totals(skewed, ranking):
     rows, df = skewed
     counts = df.where("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("n"))
@@ -34,7 +34,7 @@ def test_running_totals(skewed, ranking):
         assert r["cum_n"] == sum(v <= r["v"] for v in same)
 
 
-@BOTH_PATHS
+@BUCKETS
 def test_quantiles_agree_with_numpy(skewed, ranking):
     rows, df = skewed
     wanted = {"low": 0.0, "q1": 0.25, "mid": 0.5, "p99": 0.99, "top": 1.0}
@@ -48,14 +48,14 @@ def test_quantiles_agree_with_numpy(skewed, ranking):
         assert r["avg"] == pytest.approx(same.mean())
 
 
-@BOTH_PATHS
+@BUCKETS
 def test_quantiles_without_groups(skewed, ranking):
     rows, df = skewed
     same = np.array([v for _, v in rows if v is not None])
     assert exact_quantiles(df, "v", {"m": 0.5}, **ranking).first()["m"] == pytest.approx(np.median(same))
 
 
-@BOTH_PATHS
+@BUCKETS
 def test_auc_counts_pairs_and_ties_as_half(spark, ranking):
     rng = random.Random(3)
     rows = [(int(rng.random() < 0.3), 0.5 if rng.random() < 0.33 else round(rng.random(), 2)) for _ in range(600)]
@@ -70,7 +70,7 @@ def test_auc_without_one_class_is_null(spark):
     assert roc_auc(df, "y", "s").first()["auc"] is None
 
 
-@BOTH_PATHS
+@BUCKETS
 @pytest.mark.parametrize("drop", [False, True])
 def test_curve_points(spark, ranking, drop):
     rng = random.Random(9)
