@@ -11,12 +11,13 @@ feature j is
 which equals the Shapley sum because the integral of t^s (1-t)^(m-1-s) is
 s! (m-1-s)! / m!.  The integrand has degree m - 1, so Gauss-Legendre with
 ceil(m / 2) nodes is exact.  A row matters to a leaf only through the bits
-``o``, so the 2^m patterns of a leaf are evaluated once per batch of rows.
+``o``, so each pattern that occurs in a batch of rows is evaluated once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,7 @@ from rosterlens.functions import expressions as ex
 from rosterlens.functions import fixed_values as fv
 
 BATCH_ROWS = 32_768
-TABLE_BITS = 12  # beyond this, only the patterns that occur are evaluated
-MAX_NODES = 4_000_000  # keeps the broadcast paths within a few hundred MB
+GROUP_NODES = 500_000  # nodes of the trees that are broadcast together; more trees make more groups
 
 
 # --- the forest as paths ----------------------------------------------------------
@@ -53,18 +53,68 @@ def base_value(nodes: DataFrame) -> DataFrame:
     return nodes.where("id = 0").agg(F.avg(F.col("n1") / (F.col("n0") + F.col("n1"))).alias("base_value"))
 
 
-def load_paths(spark: SparkSession, forest_path: str) -> list[list[tuple]]:
-    """Per tree, its leaves as (value, features, lower, upper, z)."""
-    nodes = node_table(spark, forest_path)
-    size = nodes.count()
-    if size > MAX_NODES:
-        raise ValueError(f"forest has {size} nodes; explain it in groups of trees of at most {MAX_NODES} nodes")
-    frame = nodes.toPandas()
+@dataclass(frozen=True)
+class Tree:
+    """The leaves of a tree, ready for batches of rows.
+
+    ``places`` has, per feature, the thresholds in order and a table that gives
+    for a value's place among them the bits it sets in every leaf's pattern.
+    ``groups`` has the leaves that use the same number of features: their
+    numbers, features, shares ``z`` and values.
+    """
+
+    size: int
+    places: list[tuple[int, np.ndarray, np.ndarray]]
+    groups: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def prepared(leaves: list[tuple]) -> Tree:
+    """A tree from its leaves (value, features, lower, upper, z)."""
+    sizes = np.array([len(leaf[1]) for leaf in leaves])
+    kind = np.uint16 if sizes.max() <= 15 else np.int64
+    conditions: dict[int, list[tuple]] = {}
+    for leaf, (_, names, lows, highs, _) in enumerate(leaves):
+        for j, (f, low, high) in enumerate(zip(names.tolist(), lows.tolist(), highs.tolist())):
+            conditions.setdefault(f, []).append((leaf, 1 << j, low, high))
+    places = []
+    for f, rows in conditions.items():
+        leaf, bit, low, high = (np.array(part) for part in zip(*rows))
+        cuts = np.unique(np.concatenate([low, high]))
+        cuts = cuts[np.isfinite(cuts)]
+        # Place p holds the values in (cuts[p - 1], cuts[p]].
+        place = np.arange(len(cuts) + 1)[:, None]
+        first = np.where(np.isfinite(low), np.searchsorted(cuts, low) + 1, 0)
+        last = np.searchsorted(cuts, high)
+        table = np.zeros((len(cuts) + 1, len(leaves)), dtype=kind)
+        table[:, leaf] = np.where((place >= first) & (place <= last), bit, 0)
+        places.append((f, cuts, table))
+    groups = []
+    for m in np.unique(sizes[sizes > 0]):
+        members = np.flatnonzero(sizes == m)
+        groups.append((members, np.array([leaves[i][1] for i in members]), np.array([leaves[i][4] for i in members]),
+                       np.array([leaves[i][0] for i in members])))
+    return Tree(len(leaves), places, groups)
+
+
+def tree_groups(nodes: DataFrame, group_nodes: int = GROUP_NODES) -> list[tuple[int, int]]:
+    """(first, last) tree of runs of trees with about ``group_nodes`` nodes; one row per tree is collected."""
+    sizes = sorted((r["tree"], r["count"]) for r in nodes.groupBy("tree").count().collect())
+    runs, held = [], 0
+    for tree, size in sizes:
+        if not runs or held + size > group_nodes:
+            runs.append((tree, tree))
+            held = 0
+        runs[-1] = (runs[-1][0], tree)
+        held += size
+    return runs
+
+
+def load_trees(nodes: DataFrame, first: int, last: int, count: int) -> list[Tree]:
+    """Trees ``first`` to ``last`` of a forest of ``count``, with leaf values as shares of the forest's mean."""
+    frame = nodes.where(F.col("tree").between(first, last)).toPandas()  # about GROUP_NODES rows
     if ((frame["left"] >= 0) & (frame["categories"] >= 0)).any():
         raise ValueError("the forest has unordered category splits; train it on plain numeric vectors")
-    trees = [_leaves(part) for _, part in frame.groupby("tree", sort=True)]
-    count = float(len(trees))
-    return [[(value / count, *rest) for value, *rest in leaves] for leaves in trees]
+    return [prepared([(value / count, *rest) for value, *rest in _leaves(part)]) for _, part in frame.groupby("tree", sort=True)]
 
 
 def _leaves(tree: pd.DataFrame) -> list[tuple]:
@@ -90,112 +140,66 @@ def _leaves(tree: pd.DataFrame) -> list[tuple]:
 
 # --- contributions of a batch ------------------------------------------------------
 
-def _pattern_tables(z: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Contributions (leaf, feature, pattern) of leaves that use m features each.
-
-    For each node of the quadrature, the product over all features is built by
-    doubling (one feature at a time, bit clear then bit set) and divided by
-    the factor of the feature in question.
-    """
-    n, m = z.shape
-    bit = np.array([0.0, 1.0])
-    points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
-    tables = np.zeros((n, m, 1 << m))
-    for t, w in zip((points + 1) / 2, weights / 2):
-        factor = t * bit + (1 - t) * z[:, :, None]  # (leaf, feature, bit)
-        product = np.ones((n, 1))
-        for j in range(m):
-            product = (factor[:, j, :, None] * product[:, None, :]).reshape(n, -1)
-        scale = w * value[:, None, None] * (bit - z[:, :, None]) / factor
-        for j in range(m):
-            split = (n, 1 << (m - 1 - j), 2, 1 << j)
-            tables[:, j].reshape(split)[...] += product.reshape(split) * scale[:, j, None, :, None]
-    return tables
-
-
-def _pattern_values(codes: np.ndarray, z: np.ndarray, value: float) -> np.ndarray:
-    """Contributions (feature, pattern) of one leaf for the given patterns only."""
-    m = len(z)
-    o = ((codes >> np.arange(m)[:, None]) & 1).astype(float)
+def _pattern_values(codes: np.ndarray, z: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Contributions (pattern, feature) for patterns ``codes`` of leaves with shares ``z`` (pattern, feature)."""
+    m = z.shape[1]
+    o = ((codes[:, None] >> np.arange(m)) & 1).astype(float)
     total = np.zeros(o.shape)
     points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
     for t, w in zip((points + 1) / 2, weights / 2):
-        factor = t * o + (1 - t) * z[:, None]
-        total += w * factor.prod(axis=0) / factor
-    return value * (o - z[:, None]) * total
-
-
-def _pattern_codes(x: np.ndarray, leaves: list[tuple], kind: type) -> np.ndarray:
-    """Bit pattern of every (row, leaf): bit j is set when condition j holds.
-
-    A value matters only through its place among the tree's thresholds of its
-    feature, so each feature adds one row of a small (place, leaf) table.
-    """
-    codes = np.zeros((len(x), len(leaves)), dtype=kind)
-    conditions: dict[int, list[tuple]] = {}
-    for leaf, (_, names, lows, highs, _) in enumerate(leaves):
-        for j, (f, low, high) in enumerate(zip(names.tolist(), lows.tolist(), highs.tolist())):
-            conditions.setdefault(f, []).append((leaf, 1 << j, low, high))
-    for f, rows in conditions.items():
-        leaf, bit, low, high = (np.array(part) for part in zip(*rows))
-        cuts = np.unique(np.concatenate([low, high]))
-        cuts = cuts[np.isfinite(cuts)]
-        # Place p holds the values in (cuts[p - 1], cuts[p]].
-        place = np.arange(len(cuts) + 1)[:, None]
-        first = np.where(np.isfinite(low), np.searchsorted(cuts, low) + 1, 0)
-        last = np.searchsorted(cuts, high)
-        table = np.zeros((len(cuts) + 1, len(leaves)), dtype=kind)
-        table[:, leaf] = np.where((place >= first) & (place <= last), bit, 0)
-        codes += table[np.searchsorted(cuts, x[:, f])]
-    return codes
-
-
-def shap_matrix(paths: list[list[tuple]], x: np.ndarray) -> np.ndarray:
-    """Contributions of every row and feature, summed over all trees."""
-    out = np.zeros((x.shape[1], len(x)))
-    for leaves in paths:
-        sizes = np.array([len(leaf[1]) for leaf in leaves])
-        codes = np.ascontiguousarray(_pattern_codes(x, leaves, np.uint16 if sizes.max() <= 15 else np.int64).T)
-        for m in np.unique(sizes[sizes > 0]):
-            members = np.flatnonzero(sizes == m)
-            z, value = np.array([leaves[i][4] for i in members]), np.array([leaves[i][0] for i in members])
-            tables = _pattern_tables(z, value) if m <= TABLE_BITS else None
-            for k, i in enumerate(members):
-                code = codes[i].astype(np.intp)
-                if tables is not None:
-                    table = tables[k]
-                else:
-                    patterns, code = np.unique(code, return_inverse=True)
-                    table = _pattern_values(patterns, z[k], value[k])
-                for j, f in enumerate(leaves[i][1]):
-                    out[f] += table[j].take(code)
-    return out.T
+        factor = t * o + (1 - t) * z
+        total += w * factor.prod(axis=1, keepdims=True) / factor
+    return value[:, None] * (o - z) * total
+
+
+def shap_matrix(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    """Contributions of every row and feature, summed over the trees."""
+    out = np.zeros(x.shape)
+    for tree in trees:
+        codes = sum((table[np.searchsorted(cuts, x[:, f])] for f, cuts, table in tree.places), np.zeros((1, tree.size), np.uint16))
+        for members, features, z, value in tree.groups:
+            m = features.shape[1]
+            keyed = (np.arange(len(members)) << m) | codes[:, members].astype(np.int64)  # leaf and pattern in one number
+            patterns, at = np.unique(keyed, return_inverse=True)
+            leaf = patterns >> m
+            found = _pattern_values(patterns & ((1 << m) - 1), z[leaf], value[leaf])
+            # Per leaf and place of a feature, the rows' values; features may repeat over leaves, so they are added.
+            at = at.reshape(keyed.shape)
+            for k in range(len(members)):
+                out[:, features[k]] += found[at[:, k]]
+    return out
 
 
 # --- the Spark job -----------------------------------------------------------------
 
 def explain_forest(df: DataFrame, forest_path: str, id_column: str = fv.ID, vector: str = "features",
-                   features: Sequence[str] = fv.FEATURES, carry: Sequence[str] = ()) -> DataFrame:
+                   features: Sequence[str] = fv.FEATURES, carry: Sequence[str] = (),
+                   group_nodes: int = GROUP_NODES) -> DataFrame:
     """(id, carried columns, contributions): one row in, one row out, no shuffle.
 
     ``contributions`` is an array of (feature, value, shap) in feature order.
-    Only the leaf paths are broadcast; pattern tables live for one tree and
-    batch.  Small Arrow batches are joined to bounded larger ones so that the
-    tables pay off.
+    Trees are broadcast in groups of about ``group_nodes`` nodes, prepared once;
+    a larger forest has more groups, one after the other in the same narrow
+    plan.  Small Arrow batches are joined to bounded larger ones, so that a
+    pattern is evaluated once for many rows.
     """
-    spark = df.sparkSession
-    paths = spark.sparkContext.broadcast(load_paths(spark, forest_path))
+    context = df.sparkSession.sparkContext
+    nodes = node_table(df.sparkSession, forest_path)
+    runs = tree_groups(nodes, group_nodes)
+    count = runs[-1][1] - runs[0][0] + 1
     keys = [id_column, *carry]
-    source = df.select(*keys, vector_to_array(vector).alias("_x"))
-    vectors = T.ArrayType(T.DoubleType())
-    schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("_shap", vectors), T.StructField("_x", vectors)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _joined(batches):
-            x = np.stack(frame["_x"].to_numpy())
-            yield frame[keys].assign(_shap=list(shap_matrix(paths.value, x)), _x=frame["_x"])
-
-    raw = source.mapInPandas(run, schema)
+    x = vector_to_array(vector)
+    raw = df.select(*keys, F.transform(x, lambda _: F.lit(0.0)).alias("_shap"), x.alias("_x"))
+
+    def adding(trees):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in _joined(batches):
+                found = shap_matrix(trees.value, np.stack(frame["_x"].to_numpy()))
+                yield frame.assign(_shap=list(np.stack(frame["_shap"].to_numpy()) + found))
+        return run
+
+    for first, last in runs:  # each group of trees adds its contributions to the row
+        raw = raw.mapInPandas(adding(context.broadcast(load_trees(nodes, first, last, count))), raw.schema)
     names = F.array(*map(F.lit, features))
     zipped = F.transform(F.arrays_zip(names.alias("f"), F.col("_x").alias("v"), F.col("_shap").alias("s")),
                          lambda c: F.struct(c["f"].alias("feature"), c["v"].alias("value"), c["s"].alias("shap")))
@@ -224,19 +228,36 @@ def to_long(explained: DataFrame) -> DataFrame:
 
 # --- reports on explanations ---------------------------------------------------------
 
-def shap_importance(explained: DataFrame, k: int = 15) -> DataFrame:
-    """Mean absolute contribution per feature, the ``k`` largest."""
-    return to_long(explained).groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap")).orderBy(
+def _by_place(explained: DataFrame, features: Sequence[str], **columns) -> DataFrame:
+    """One row per feature from one aggregate over the arrays: ``columns`` are functions of (shap, value)."""
+    at = lambda i, field: F.get("contributions", F.lit(i))[field]
+    row = explained.agg(*[make(at(i, "shap"), at(i, "value")).alias(f"{name}_{i}")
+                          for i in range(len(features)) for name, make in columns.items()])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), *[F.col(f"{name}_{i}").alias(name) for name in columns]) for i, f in enumerate(features)])))
+
+
+def shap_importance(explained: DataFrame, k: int = 15, features: Sequence[str] = fv.FEATURES) -> DataFrame:
+    """Mean absolute contribution per feature, the ``k`` largest.
+
+    Contributions stand in the order of ``features`` in every row, so one
+    average per place is enough and no row is taken apart.
+    """
+    return _by_place(explained, features, mean_abs_shap=lambda shap, value: F.avg(F.abs(shap))).orderBy(
         F.desc("mean_abs_shap"), "feature").limit(k)
 
 
-def shap_summary_data(explained: DataFrame, id_column: str = fv.ID, k: int = 15) -> DataFrame:
-    """Every point of the ``k`` strongest features with its value scaled to [0, 1]."""
-    top = shap_importance(explained, k).select("feature")
-    long = to_long(explained).join(F.broadcast(top), "feature", "left_semi")  # k rows
-    spans = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+def shap_summary_data(explained: DataFrame, id_column: str = fv.ID, k: int = 15,
+                      features: Sequence[str] = fv.FEATURES) -> DataFrame:
+    """Every point of the ``k`` strongest features with its value scaled to [0, 1].
+
+    One aggregate finds the features and their spans, a second pass the points.
+    """
+    top = _by_place(explained, features, mean_abs_shap=lambda shap, value: F.avg(F.abs(shap)),
+                    _lo=lambda shap, value: F.min(value), _hi=lambda shap, value: F.max(value)).orderBy(
+        F.desc("mean_abs_shap"), "feature").limit(k).select("feature", "_lo", "_hi")
     scaled = F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    return long.join(F.broadcast(spans), "feature").select(  # at most k rows
+    return to_long(explained).join(F.broadcast(top), "feature").select(  # k rows
         id_column, "feature", "value", "shap", scaled.alias("scaled"))
 
 

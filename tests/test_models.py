@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions import fixed_values as fv
 from rosterlens.operators import explain, inference, metrics, models, prep, risk, scoring
 from rosterlens.plans import attrition
-from rosterlens.sources.artifacts import load_artifacts, load_or_fit
+from rosterlens.sources.artifacts import discard_artifacts, is_complete, load_artifacts, load_or_fit
 from rosterlens.sources.tables import shared_dir
 from rosterlens.streaming.scoring import profile_stream, start_scoring
 
@@ -163,15 +163,34 @@ def test_contributions_equal_brute_force_shapley_values():
     x = np.array([[a, b, c, d] for a in (0.5, 1.0, 2.0, 9.0) for b in (-1.0, 0.0, 1.0)
                   for c in (5.0, 6.0) for d in (2.0, 3.0)])
     expected = np.array([brute_force(tree, row) for row in x])
-    assert np.abs(explain.shap_matrix([tree], x) - expected).max() < 1e-14
+    assert np.abs(explain.shap_matrix([explain.prepared(tree)], x) - expected).max() < 1e-14
 
 
-def test_deep_leaves_use_only_patterns_that_occur(monkeypatch, spark, model, design):
-    paths = explain.load_paths(spark, model.forest_path)
-    x = np.array([r[0].toArray() for r in design.select("features").limit(50).collect()])
-    usual = explain.shap_matrix(paths, x)
-    monkeypatch.setattr(explain, "TABLE_BITS", 2)
-    assert np.abs(explain.shap_matrix(paths, x) - usual).max() < 1e-12
+def test_groups_of_trees_add_up(model, design):
+    few = design.limit(50)
+    one = {r[fv.ID]: [c["shap"] for c in r["contributions"]] for r in explain.explain_forest(few, model.forest_path).collect()}
+    many = explain.explain_forest(few, model.forest_path, group_nodes=300)
+    assert len(explain.tree_groups(explain.node_table(few.sparkSession, model.forest_path), 300)) > 1
+    for r in many.collect():
+        assert np.abs(np.array([c["shap"] for c in r["contributions"]]) - one[r[fv.ID]]).max() < 1e-12
+
+
+def test_a_forest_does_not_depend_on_the_partitions_of_its_input(design):
+    scores = []
+    for parts in (2, 8):
+        forest = models.fit_forest(design.repartition(parts), trees=5, depth=4)
+        scores.append({r[fv.ID]: r["score"] for r in models.score(forest, design).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_a_model_being_replaced_does_not_load(spark, model, tmp_path):
+    import shutil
+
+    copy = str(tmp_path / "copy")
+    shutil.copytree(model.path, copy)
+    assert is_complete(spark, copy)
+    discard_artifacts(spark, copy)
+    assert not is_complete(spark, copy)
 
 
 def test_base_plus_contributions_is_the_prediction_for_every_row(spark, model, design):
