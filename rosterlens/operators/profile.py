@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.functions import fixed_values as fv
@@ -36,7 +36,7 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFra
     """Rows per non-null value, most frequent first; ``share`` when normalised."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
-        counts = counts.withColumn("share", F.col("n").cast("double") / counts.agg(F.sum("n")).scalar())
+        counts = counts.withColumn("share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()))  # one row per value
     return counts.orderBy(F.desc("n"), column)
 
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rosterlens.functions import expressions as ex
 from rosterlens.functions import fixed_values as fv
-from rosterlens.operators.ranking import exact_quantiles
+from rosterlens.operators.ranking import approximate_quantiles, exact_quantiles
+from rosterlens.sources.tables import settle
 
 RATE = "attrition_rate_pct"
 
@@ -191,12 +192,7 @@ def income_quartiles(df: DataFrame, by: str = fv.TARGET, column: str = "MonthlyI
                      approximate: bool = False) -> DataFrame:
     """Minimum, quartiles, maximum and mean per class, rounded to whole units."""
     quartiles = {"q1_income": 0.25, "median_income": 0.5, "q3_income": 0.75}
-    if approximate:
-        found = df.groupBy(by).agg(
-            *[F.percentile_approx(column, p).cast("double").alias(name) for name, p in quartiles.items()],
-            F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("avg"))
-    else:
-        found = exact_quantiles(df, column, quartiles, [by], moments=True)
+    found = (approximate_quantiles if approximate else exact_quantiles)(df, column, quartiles, [by], moments=True)
     found = found.withColumnsRenamed({"min": "min_income", "max": "max_income", "avg": "avg_income"})
     names = ["min_income", *quartiles, "max_income", "avg_income"]
     return found.select(by, *[ex.round_to(c, 0).alias(c) for c in names])
@@ -208,46 +204,49 @@ def median_by_class(df: DataFrame, by: str = fv.TARGET, column: str = "MonthlyIn
 
 # --- comparisons with the whole ---------------------------------------------------
 
-def with_baseline(report: DataFrame, df: DataFrame, rate: str = RATE, condition: Column | None = None) -> DataFrame:
-    """Add the overall rate and each group's gap to it."""
-    condition = ex.left_company() if condition is None else condition
-    overall = df.agg(ex.pct(hits(condition), rows())).scalar()
+def _whole() -> WindowSpec:
+    """All rows of a report: one row per group, however large the table behind it."""
+    return Window.partitionBy()
+
+
+def with_baseline(report: DataFrame, rate: str = RATE, total: str = "total", positives: str = "attrited") -> DataFrame:
+    """Add the overall rate and each group's gap to it.
+
+    The overall rate is the sum of the groups' own counts, so the table behind
+    the report is read once.
+    """
+    overall = ex.pct(F.sum(positives).over(_whole()), F.sum(total).over(_whole()))
     return report.withColumn("overall_rate_pct", overall).withColumn(
-        "gap_pct", ex.round_to(F.col(rate) - F.col("overall_rate_pct"), 1))
+        "gap_pct", ex.round_to(F.col(rate) - F.col("overall_rate_pct"), 1)).orderBy(F.desc(rate), report.columns[0])
 
 
-def compare_groups(everyone: DataFrame, subset: DataFrame, column: str) -> DataFrame:
-    """Distribution of ``column`` over both frames, in percent, absent values as 0.
+def compare_groups(df: DataFrame, condition: Column, column: str) -> DataFrame:
+    """Distribution of ``column`` over all rows and over those with the condition, in percent, absent values as 0.
 
-    The two sides are tagged and counted in one aggregation; no join.
+    One aggregation counts both sides.
     """
-    tagged = everyone.select(column, F.lit(True).alias("_all")).unionAll(
-        subset.select(column, F.lit(False).alias("_all"))).where(F.col(column).isNotNull())
-    counts = tagged.groupBy(column).agg(F.count_if("_all").alias("n_all"),
-                                        F.count_if(~F.col("_all")).alias("n_subset"))
-    totals = counts.agg(F.struct(F.sum("n_all").alias("n_all"), F.sum("n_subset").alias("n_subset"))).scalar()
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(
+        rows().alias("n_all"), F.count_if(condition).alias("n_subset"))
     share = lambda n: F.coalesce(
-        F.try_divide(100.0 * F.col(n), F.col("_totals")[n].cast("double")), F.lit(0.0))
-    return counts.withColumn("_totals", totals).select(
-        column, "n_all", "n_subset", share("n_all").alias("pct_all"),
-        share("n_subset").alias("pct_subset")).orderBy(column)
+        F.try_divide(100.0 * F.col(n), F.sum(n).over(_whole()).cast("double")), F.lit(0.0))
+    return counts.select(column, "n_all", "n_subset", share("n_all").alias("pct_all"),
+                         share("n_subset").alias("pct_subset")).orderBy(column)
 
 
 def min_max_scale(report: DataFrame, column: str, name: str = "scaled") -> DataFrame:
     """Position of each value between the smallest and largest; 0 when all are equal."""
-    span = report.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
-    scaled = ex.safe_ratio(F.col(column) - F.col("_span.lo"), F.col("_span.hi") - F.col("_span.lo"))
-    return report.withColumn("_span", span).withColumn(
-        name, F.when(F.col(column).isNotNull(), F.coalesce(scaled, F.lit(0.0)))).drop("_span")
+    lo, hi = F.min(column).over(_whole()), F.max(column).over(_whole())
+    scaled = ex.safe_ratio(F.col(column) - lo, hi - lo)
+    return report.withColumn(name, F.when(F.col(column).isNotNull(), F.coalesce(scaled, F.lit(0.0))))
 
 
 def share_of_max(report: DataFrame, column: str, name: str = "share_of_max") -> DataFrame:
-    return report.withColumn(name, ex.safe_ratio(column, report.agg(F.max(column)).scalar()))
+    return report.withColumn(name, ex.safe_ratio(column, F.max(column).over(_whole())))
 
 
 def flag_maxima(report: DataFrame, column: str, name: str = "is_max") -> DataFrame:
     """Mark every row that reaches the maximum, ties included."""
-    return report.withColumn(name, F.col(column) == report.agg(F.max(column)).scalar())
+    return report.withColumn(name, F.col(column) == F.max(column).over(_whole()))
 
 
 # --- order and top-k --------------------------------------------------------------
@@ -275,7 +274,10 @@ def role_bubble(df: DataFrame, size_per_head: int = 5) -> DataFrame:
 
 
 def heat_pivot(df: DataFrame, columns: Sequence[str] = ("No", "Yes")) -> DataFrame:
-    """Satisfaction x overtime rates as a matrix; listed columns save a job."""
+    """Satisfaction x overtime rates as a matrix; listed columns save a job.
+
+    Other and null overtime values have no column and are left out.
+    """
     cells = df.groupBy("JobSatisfaction").pivot("OverTime", list(columns)).agg(ex.pct(leavers(), rows()))
     return cells.orderBy(F.desc("JobSatisfaction")).select(
         ex.ordinal_label().alias("satisfaction"), *[F.col(f"`{c}`") for c in columns])
@@ -293,7 +295,8 @@ def histogram_by_class(df: DataFrame, column: str, by: str, classes: Sequence[st
     single = lo == hi
     spans = kept.groupBy(F.col(by).alias("_class")).agg(
         F.when(single, lo - 0.5).otherwise(lo).alias("lo"), F.when(single, hi + 0.5).otherwise(hi).alias("hi"))
-    spans = F.broadcast(spans.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(bins))))
+    # One row per class, kept for both the counts and the frame of empty bins.
+    spans = F.broadcast(settle(spans.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(bins)))))
 
     def edge(i: Column) -> Column:
         return i * F.col("step") + F.col("lo")

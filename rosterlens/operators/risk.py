@@ -63,7 +63,7 @@ def score_histogram(risk: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def overtime_share(risk: DataFrame) -> DataFrame:
-    return compare_groups(risk, high_risk(risk), "OverTime")
+    return compare_groups(risk, F.col(TIER) == HIGH, "OverTime")
 
 
 def risk_summary(risk: DataFrame) -> DataFrame:

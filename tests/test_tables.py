@@ -121,7 +121,7 @@ def test_all_maxima_are_flagged(spark):
 
 def test_groups_absent_from_one_side_count_as_zero(spark):
     a = spark.createDataFrame([("x",), ("y",)], "c string")
-    rows = {r["c"]: r for r in reports.compare_groups(a, a.where("c = 'x'"), "c").collect()}
+    rows = {r["c"]: r for r in reports.compare_groups(a, F.col("c") == "x", "c").collect()}
     assert (rows["y"]["n_subset"], rows["y"]["pct_subset"]) == (0, 0.0) and rows["x"]["pct_subset"] == 100.0
 
 
