@@ -15,7 +15,7 @@ import sys
 import tempfile
 import time
 
-from rosterlens.operators import explain, models
+from rosterlens.operators import explain
 from rosterlens.plans import attrition
 from rosterlens.plans.catalog import QUERIES
 from rosterlens.session import local_session
@@ -57,7 +57,7 @@ def main() -> None:
         seconds["train_and_save_300_trees"] = round(timed(lambda: state.update(
             model=attrition.train_risk_model(hr, f"{folder}/model", scope="train"))), 3)
         model = state["model"]
-        design = models.spread(attrition.design_of(model))
+        design = attrition.design_of(model)
         seconds["score_all"] = round(timed(lambda: materialise(attrition.risk_frame(model, design))), 3)
         seconds["explain_holdout"] = round(timed(lambda: materialise(explain.explain_forest(
             design.where("split = 'test'"), model.forest_path))), 3)

@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +95,9 @@ def _with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Department": F.nullif("Department", F.lit("Sales")),
         "MonthlyIncome": F.when(F.col("MonthlyIncome") >= 5000, F.col("MonthlyIncome")),
         "Over18": F.when(F.col("Age") > 30, F.col("Over18")),
+        "Age": F.nullif("Age", F.lit(40)),
+        "YearsAtCompany": F.nullif("YearsAtCompany", F.lit(4)),
+        "YearsSinceLastPromotion": F.nullif("YearsSinceLastPromotion", F.lit(2)),
         "StandardHours": F.lit(None).cast("bigint")})
 
 
@@ -222,7 +227,8 @@ def scalar_features(spark, sf_dir):
 
 @query
 def score_labels(spark, sf_dir):
-    return _scored(spark, sf_dir).select(
+    scored = _scored(spark, sf_dir).withColumn("score", F.when(F.col(fv.ID) % 13 != 0, F.col("score")))  # with null scores
+    return scored.select(
         fv.ID, ex.risk_tier_cut("score").alias("tier_cut"), ex.risk_tier_threshold("score").alias("tier_threshold"),
         ex.verdict("score").alias("verdict"), ex.score_pct("score").alias("score_pct"),
         ex.direction(F.col("score") - 0.5).alias("direction"))
@@ -296,14 +302,12 @@ def attach_by_key(spark, sf_dir):
 
 @query
 def department_with_baseline(spark, sf_dir):
-    hr = hr_raw(spark, sf_dir)
-    return reports.with_baseline(reports.rate_by_department(hr), hr)
+    return reports.with_baseline(reports.rate_by_department(hr_raw(spark, sf_dir)))
 
 
 @query
 def marital_status_of_triple_risk(spark, sf_dir):
-    hr = hr_raw(spark, sf_dir)
-    both = reports.compare_groups(hr, reports.triple_risk_employees(hr), "MaritalStatus")
+    both = reports.compare_groups(hr_raw(spark, sf_dir), ex.triple_risk(), "MaritalStatus")
     return both.withColumns({c: ex.round_to(c, 6) for c in ("pct_all", "pct_subset")})
 
 
@@ -505,6 +509,49 @@ def forest_plot_data(spark, sf_dir):
     return plot.select("feature", ex.round_to("odds_ratio", 6).alias("odds_ratio"), "pvalue", "direction")
 
 
+def _stump(spark: SparkSession, sf_dir: str) -> tuple[RandomForestClassificationModel, DataFrame, str]:
+    """One tree of depth one on overtime alone, without bootstrap: small enough for SQL to check every part."""
+    numbers = hr_raw(spark, sf_dir).select(fv.ID, ex.attrition_flag().alias(fv.FLAG), F.when(
+        F.col("OverTime") == "Yes", 1.0).otherwise(0.0).alias("overtime"))
+    data = VectorAssembler(inputCols=["overtime"], outputCol="features").transform(numbers)
+    forest = models.fit_forest(data, trees=1, depth=1, bootstrap=False)
+    path = _scratch(spark, sf_dir, "stump")
+    forest.write().overwrite().save(path)
+    return forest, data, path
+
+
+@query
+def stump_scores(spark, sf_dir):
+    """Score, class, base value, contribution and importance of the stump for every employee."""
+    forest, data, path = _stump(spark, sf_dir)
+    base = explain.base_value(explain.node_table(spark, path)).scalar()
+    weight = models.feature_importance(forest, spark, ["overtime"]).select("importance").scalar()
+    explained = explain.explain_forest(models.score(forest, data), path, features=["overtime"], carry=["score", "predicted"])
+    return explained.select(
+        fv.ID, ex.round_to("score", 9).alias("score"), "predicted", ex.round_to(base, 9).alias("base_value"),
+        ex.round_to(F.col("contributions")[0]["shap"], 9).alias("shap"), ex.round_to(weight, 9).alias("importance"))
+
+
+@query
+def logit_of_overtime(spark, sf_dir):
+    """Coefficients of a logit on one binary column, which its two-by-two counts give in closed form."""
+    numbers = hr_raw(spark, sf_dir).select(ex.attrition_flag().alias(fv.FLAG), F.when(
+        F.col("OverTime") == "Yes", 1.0).otherwise(0.0).alias("overtime"))
+    fitted = inference.logit_inference(numbers, ["overtime"])
+    return fitted.select("feature", *[ex.round_to(c, 6).alias(c) for c in ("coef", "std_err", "ci_lower", "ci_upper")], "aliased")
+
+
+@query
+def forest_additivity(spark, sf_dir):
+    """Base value plus contributions minus the score of the trained forest, for every employee."""
+    model = _model(spark, sf_dir)
+    base = explain.base_value(explain.node_table(spark, model.forest_path)).scalar()
+    total = F.aggregate("contributions", F.lit(0.0), lambda acc, c: acc + c["shap"])
+    scores = models.score(model.forest, attrition.design_of(model), predicted=None).select(fv.ID, "score")
+    both = _explanations(spark, sf_dir).join(scores, fv.ID)
+    return both.select(fv.ID, F.abs(ex.round_to(base + total - F.col("score"), 9)).alias("error"))
+
+
 @query
 def forest_nodes(spark, sf_dir):
     """Size of every tree of the trained forest."""
@@ -531,6 +578,38 @@ def feature_importance_top15(spark, sf_dir):
     return models.feature_importance(_model(spark, sf_dir).forest, spark)
 
 
+def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hold-out rows scored by the trained forest, with tiers."""
+    model = _model(spark, sf_dir)
+    return attrition.risk_frame(model, attrition.design_of(model), "holdout")
+
+
+for _name, _operator in {
+    "holdout_confusion_matrix": lambda rows: metrics.confusion_matrix(rows, risk.ACTUAL, "predicted"),
+    "holdout_classification_report": lambda rows: metrics.classification_report(rows, risk.ACTUAL, "predicted"),
+    "holdout_roc_curve": lambda rows: metrics.roc_curve(rows, risk.ACTUAL, risk.SCORE),
+    "holdout_leavers_caught": lambda rows: metrics.leavers_caught(rows, risk.ACTUAL, "predicted"),
+    "holdout_tier_distribution": risk.tier_distribution,
+    "holdout_risk_summary": risk.risk_summary,
+    "holdout_highest_risk_profile": risk.highest_risk_profile,
+}.items():
+    QUERIES[_name] = lambda spark, sf_dir, _f=_operator: _f(_holdout(spark, sf_dir))
+
+
+@query
+def holdout_highest_risk_waterfall(spark, sf_dir):
+    """Waterfall of the hold-out employee with the highest score."""
+    top = reports.argmax_row(_holdout(spark, sf_dir), risk.SCORE, fv.ID).select(fv.ID)
+    nodes = explain.node_table(spark, _model(spark, sf_dir).forest_path)
+    return explain.waterfall(_explanations(spark, sf_dir).join(F.broadcast(top), fv.ID, "left_semi"), explain.base_value(nodes))
+
+
+@query
+def forest_shap_dependence(spark, sf_dir):
+    """Overtime contributions by job satisfaction on the trained forest."""
+    return explain.shap_dependence(_explanations(spark, sf_dir))
+
+
 @query
 def cross_validated_auc(spark, sf_dir):
     design = attrition.design_of(_model(spark, sf_dir))
@@ -618,13 +697,13 @@ def forest_base_value(spark, sf_dir):
 
 @query
 def shap_importance(spark, sf_dir):
-    top = explain.shap_importance(_explained(spark, sf_dir), 5)
+    top = explain.shap_importance(_explained(spark, sf_dir), 5, EXPLAINED_FEATURES)
     return top.select("feature", ex.round_to("mean_abs_shap", 9).alias("mean_abs_shap"))
 
 
 @query
 def shap_summary_data(spark, sf_dir):
-    points = explain.shap_summary_data(_explained(spark, sf_dir), k=15)
+    points = explain.shap_summary_data(_explained(spark, sf_dir), k=15, features=EXPLAINED_FEATURES)
     return points.withColumn("scaled", ex.round_to("scaled", 9))
 
 
@@ -685,7 +764,7 @@ def fill_profile(spark, sf_dir):
 
 @query
 def score_profiles(spark, sf_dir):
-    scored = scoring.score_profiles(_model(spark, sf_dir), models.spread(_profiles(spark, sf_dir), scoring.PROFILE_ID))
+    scored = scoring.score_profiles(_model(spark, sf_dir), _profiles(spark, sf_dir).repartition(models.FIT_PARTITIONS, scoring.PROFILE_ID))
     return scored.select(scoring.PROFILE_ID, "probability", "probability_pct", "risk_tier", "verdict")
 
 
@@ -693,7 +772,7 @@ def score_profiles(spark, sf_dir):
 def profile_factors(spark, sf_dir):
     """The six strongest factors of every profile, on the trained forest."""
     model = _model(spark, sf_dir)
-    scored = scoring.score_profiles(model, models.spread(_profiles(spark, sf_dir), scoring.PROFILE_ID))
+    scored = scoring.score_profiles(model, _profiles(spark, sf_dir).repartition(models.FIT_PARTITIONS, scoring.PROFILE_ID))
     return scoring.explain_profiles(model, scored)
 
 

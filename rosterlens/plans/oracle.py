@@ -14,16 +14,16 @@ _HR = f"hr AS ({HR_RAW_SQL})"
 
 _AGE = """CASE WHEN Age < 25 THEN 'Under 25' WHEN Age >= 25 AND Age <= 34 THEN '25-34'
  WHEN Age >= 35 AND Age <= 44 THEN '35-44' WHEN Age >= 45 AND Age <= 54 THEN '45-54' ELSE '55+' END"""
-_TENURE = """CASE WHEN YearsAtCompany = 0 THEN '< 1 year' WHEN YearsAtCompany IN (1, 2) THEN '1-2 years'
- WHEN YearsAtCompany IN (3, 4, 5) THEN '3-5 years' WHEN YearsAtCompany >= 6 AND YearsAtCompany <= 10 THEN '6-10 years'
+_TENURE = """CASE WHEN YearsAtCompany = 0 THEN '< 1 year' WHEN YearsAtCompany BETWEEN 1 AND 2 THEN '1-2 years'
+ WHEN YearsAtCompany BETWEEN 3 AND 5 THEN '3-5 years' WHEN YearsAtCompany >= 6 AND YearsAtCompany <= 10 THEN '6-10 years'
  ELSE '10+ years' END"""
 _INCOME = """CASE WHEN MonthlyIncome < 3000 THEN 'Low (< $3K)'
  WHEN MonthlyIncome >= 3000 AND MonthlyIncome <= 7000 THEN 'Mid ($3K-$7K)' ELSE 'High (> $7K)' END"""
-_SATISFACTION = "CASE WHEN JobSatisfaction <= 2 THEN 'Low Satisfaction' ELSE 'High Satisfaction' END"
+_SATISFACTION = "CASE WHEN JobSatisfaction IN (1, 2) THEN 'Low Satisfaction' ELSE 'High Satisfaction' END"
 _PROMOTION = """CASE WHEN YearsSinceLastPromotion = 0 THEN 'Recently Promoted'
- WHEN YearsSinceLastPromotion IN (1, 2) THEN '1-2 years ago'
- WHEN YearsSinceLastPromotion IN (3, 4, 5) THEN '3-5 years ago' ELSE '5+ years ago' END"""
-_STALLED = "CASE WHEN YearsSinceLastPromotion < 3 THEN 0 ELSE 1 END"
+ WHEN YearsSinceLastPromotion BETWEEN 1 AND 2 THEN '1-2 years ago'
+ WHEN YearsSinceLastPromotion BETWEEN 3 AND 5 THEN '3-5 years ago' ELSE '5+ years ago' END"""
+_STALLED = "CASE WHEN YearsSinceLastPromotion >= 3 THEN 1 ELSE 0 END"
 _COMPOSITE = """round((JobSatisfaction + EnvironmentSatisfaction + RelationshipSatisfaction + WorkLifeBalance)
  / CAST(4 AS DOUBLE) * 100) / 100"""
 _DERIVED = f"""{_STALLED} AS stalled_promotion_flag, {_COMPOSITE} AS satisfaction_composite,
@@ -60,6 +60,9 @@ _GAPS = """gaps AS (SELECT * REPLACE (
  CASE WHEN Department <> 'Sales' THEN Department END AS Department,
  CASE WHEN MonthlyIncome >= 5000 THEN MonthlyIncome END AS MonthlyIncome,
  CASE WHEN Age > 30 THEN Over18 END AS Over18,
+ CASE WHEN Age <> 40 THEN Age END AS Age,
+ CASE WHEN YearsAtCompany <> 4 THEN YearsAtCompany END AS YearsAtCompany,
+ CASE WHEN YearsSinceLastPromotion <> 2 THEN YearsSinceLastPromotion END AS YearsSinceLastPromotion,
  CAST(NULL AS BIGINT) AS StandardHours) FROM hr)"""
 _ALL_COLUMNS = [part.split()[0] for part in fv.HR_SCHEMA_DDL.split(",")]
 _SCORED = f"""scored AS (SELECT *, CAST(s >= 0.5 AS INTEGER) AS predicted
@@ -217,10 +220,11 @@ ORACLE: dict[str, str] = {
         ['1 - Low', '2 - Medium', '3 - High', '4 - Very High'][WorkLifeBalance] AS balance_label,
         ifnull(Department, 'nan') AS department_text FROM gaps""", _GAPS),
     "score_labels": _hr(f"""SELECT EmployeeNumber, {_TIER_CUT} AS tier_cut,
-        CASE WHEN s < 0.3 THEN 'LOW RISK' WHEN s < 0.55 THEN 'MEDIUM RISK' ELSE 'HIGH RISK' END AS tier_threshold,
-        CASE WHEN s < 0.5 THEN 'likely to stay' ELSE 'likely to leave' END AS verdict,
+        CASE WHEN s >= 0.55 THEN 'HIGH RISK' WHEN s >= 0.3 THEN 'MEDIUM RISK' ELSE 'LOW RISK' END AS tier_threshold,
+        CASE WHEN s >= 0.5 THEN 'likely to leave' ELSE 'likely to stay' END AS verdict,
         round(s * 100 * 10) / 10 AS score_pct,
-        CASE WHEN s - 0.5 > 0 THEN 'increases' ELSE 'reduces' END AS direction FROM scored""", _SCORED),
+        CASE WHEN s - 0.5 > 0 THEN 'increases' ELSE 'reduces' END AS direction
+        FROM (SELECT EmployeeNumber, CASE WHEN EmployeeNumber % 13 <> 0 THEN s END AS s FROM scored) AS t""", _SCORED),
     "scalar_arithmetic": _hr(f"""SELECT EmployeeNumber, {_r('MonthlyIncome / CAST(12 AS DOUBLE)', 2)} AS weekly,
         abs(MonthlyIncome - 10000) AS distance, {_r('exp(MonthlyIncome / CAST(20000 AS DOUBLE))', 6)} AS exp_income,
         CASE WHEN StockOptionLevel = 0 THEN -1 ELSE StockOptionLevel END AS stock_or_default FROM hr"""),
@@ -228,8 +232,8 @@ ORACLE: dict[str, str] = {
         CASE WHEN y >= 1e6 THEN format('${:.2f}M', y / 1e6) ELSE format('${:.0f}K', y / 1e3) END AS yearly_text,
         format('${:.0f}K', m / 1e3) AS monthly_text, CAST(Age AS VARCHAR) AS age_text
         FROM (SELECT *, CAST(MonthlyIncome * 12 * JobLevel * JobLevel AS DOUBLE) AS y, CAST(MonthlyIncome AS DOUBLE) AS m FROM hr) AS t"""),
-    "severity_by_tenure": _hr(f"""SELECT *, CASE WHEN attrition_rate_pct < 15 THEN 'low' WHEN attrition_rate_pct < 20 THEN 'medium'
-        ELSE 'high' END AS severity FROM (SELECT {_TENURE} AS tenure_bucket, {_RATE} FROM hr GROUP BY 1) AS t"""),
+    "severity_by_tenure": _hr(f"""SELECT *, CASE WHEN attrition_rate_pct >= 20 THEN 'high' WHEN attrition_rate_pct >= 15 THEN 'medium'
+        ELSE 'low' END AS severity FROM (SELECT {_TENURE} AS tenure_bucket, {_RATE} FROM hr GROUP BY 1) AS t"""),
     "feature_table": _hr("SELECT * FROM features", _FEATURES),
     "model_frame": _hr("SELECT * FROM model", _MODEL),
     "feature_columns": _hr(" UNION ALL ".join(
@@ -362,6 +366,21 @@ ORACLE: dict[str, str] = {
     "roc_curve": _hr(_START + _POINT, _SCORED, _CURVE),
     "roc_curve_without_collinear": _hr(
         _START + _POINT + " WHERE i = 1 OR p2 IS NULL OR p1 <> p2 OR n1 <> n2", _SCORED, _CURVE),
+    "stump_scores": _hr(f"""SELECT EmployeeNumber, {_r('p', 9)} AS score, CAST(p > 0.5 AS INTEGER) AS predicted, CAST(0.5 AS DOUBLE) AS base_value,
+        {_r('p - 0.5', 9)} AS shap, CAST(1 AS DOUBLE) AS importance
+        FROM hr JOIN (
+          SELECT OverTime, (y1 / n1) / (y1 / n1 + y0 / n0) AS p FROM (
+            SELECT OverTime, CAST({_LEFT} AS DOUBLE) AS y1, CAST(count(*) - {_LEFT} AS DOUBLE) AS y0 FROM hr GROUP BY 1) AS a,
+            (SELECT {_LEFT} AS n1, count(*) - {_LEFT} AS n0 FROM hr) AS b) AS s USING (OverTime)"""),
+    "logit_of_overtime": _hr(f"""SELECT feature, {_r('coef', 6)} AS coef, {_r('se', 6)} AS std_err, {_r('coef - 1.959963984540054 * se', 6)} AS ci_lower,
+        {_r('coef + 1.959963984540054 * se', 6)} AS ci_upper, false AS aliased FROM (
+        SELECT 'intercept' AS feature, ln(c / d) AS coef, sqrt(1 / c + 1 / d) AS se FROM cells
+        UNION ALL SELECT 'overtime', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM cells) AS t""",
+        """cells AS (SELECT CAST(count(*) FILTER (WHERE OverTime = 'Yes' AND Attrition = 'Yes') AS DOUBLE) AS a,
+        CAST(count(*) FILTER (WHERE OverTime = 'Yes' AND Attrition <> 'Yes') AS DOUBLE) AS b,
+        CAST(count(*) FILTER (WHERE OverTime <> 'Yes' AND Attrition = 'Yes') AS DOUBLE) AS c,
+        CAST(count(*) FILTER (WHERE OverTime <> 'Yes' AND Attrition <> 'Yes') AS DOUBLE) AS d FROM hr)"""),
+    "forest_additivity": _hr("SELECT EmployeeNumber, CAST(0 AS DOUBLE) AS error FROM hr"),
     "confusion_matrix": _hr("""SELECT CAST(a AS INTEGER) AS actual, CAST(p AS INTEGER) AS predicted,
         (SELECT count(*) FROM scored WHERE y = a AND scored.predicted = p) AS n
         FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(a, p)""", _SCORED),

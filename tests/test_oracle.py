@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from rosterlens.plans.catalog import QUERIES
+from rosterlens.plans.oracle import ORACLE
 from tests.compare import connect, difference
 from tests.conftest import MEDIUM, SMALL
 
-NEEDS_MODEL = {"saved_defaults", "saved_feature_order"}
 # At the smaller scale all of them; at the larger one those with boundaries that only occur there.
 LARGER = ["rate_by_department", "income_quartiles", "segment_role_department_200", "stratified_split",
           "stratified_folds", "roc_auc", "roc_curve", "quartiles_of_line_prices", "roc_auc_line_prices",
@@ -23,9 +24,9 @@ def medium_db():
     return connect(MEDIUM)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, small_db, name):
-    assert difference(entry.queries()[name](spark, SMALL), small_db, entry.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SMALL), small_db, ORACLE[name]) is None
 
 
 @pytest.mark.parametrize("name", LARGER)
