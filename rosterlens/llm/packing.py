@@ -172,5 +172,6 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     rows = stored(pieces.select(F.col("length").alias("fill"), F.array(member).alias("members")), "pieces")
     bins = rows.where(F.col("fill") == capacity).unionByName(pack(rows.where(F.col("fill") < capacity), capacity, items_per_task))
-    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("members").alias("m"))
+    # Numbered in a step of its own: next to the explode, every member would get a number.
+    numbered = bins.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("m", F.explode("members"))
     return numbered.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
