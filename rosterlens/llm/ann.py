@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from rosterlens.llm.shared import stored
 
-PIVOTS, NEAREST = 256, 64  # pivots of a segment; length of a vector's list
-CANDIDATES = 1024  # vectors of a segment that are reranked
+PIVOTS, NEAREST = 256, 96  # pivots of a segment; length of a vector's list
+CANDIDATES = 2048  # vectors of a segment that are reranked
 SEGMENT_ROWS, QUERY_ROWS = 16_384, 2_048
 K = 5
 
