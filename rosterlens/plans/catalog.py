@@ -9,6 +9,7 @@ compared with plain SQL, and on a trained model where the model is the point.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassificationModel
@@ -24,6 +25,7 @@ from rosterlens.plans import attrition, report_pack
 from rosterlens.sources import tables
 from rosterlens.sources.artifacts import RiskModel, load_or_fit
 from rosterlens.sources.hr_fixture import fixed_score, hr_raw
+from rosterlens.streaming.scoring import profile_stream, start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -776,6 +778,15 @@ def profile_factors(spark, sf_dir):
     return scoring.explain_profiles(model, scored)
 
 
+@query
+def streamed_profile_scores(spark, sf_dir):
+    """Profiles that arrive as files, scored by the stream; what was there is worked off once."""
+    incoming, target = (f"{_scratch(spark, sf_dir, 'stream')}/{uuid.uuid4().hex}/{part}" for part in ("in", "out"))
+    _profiles(spark, sf_dir).repartition(4, scoring.PROFILE_ID).write.json(incoming)
+    start_scoring(_model(spark, sf_dir), profile_stream(spark, incoming), target, name=f"scores_{uuid.uuid4().hex}").awaitTermination()
+    return spark.read.parquet(target).select(scoring.PROFILE_ID, "probability", "probability_pct", "risk_tier", "verdict")
+
+
 @query
 def profile_stats(spark, sf_dir):
     return scoring.profile_stats(_profiles(spark, sf_dir))

@@ -282,3 +282,14 @@ def test_stream_scores_like_a_batch(spark, model, profiles, tmp_path):
     profiles.withColumn("profile_id", F.col("profile_id") + 1000).limit(2).write.mode("append").json(incoming)
     start_scoring(model, profile_stream(spark, incoming), target, checkpoint=str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(target).count() == len(batch) + 2
+
+
+def test_training_job_on_all_rows(spark, hr, tmp_path):
+    from rosterlens.plans.train_job import train_on_all
+
+    folder = str(tmp_path / "job")
+    trained, auc = train_on_all(hr, folder, folds=2, trees=4, depth=3)
+    assert is_complete(spark, folder) and trained.forest.getNumTrees == 4
+    assert auc.count() == 1 and 0.5 < auc.first()["auc_mean"] <= 1
+    frame = attrition.risk_frame(trained, attrition.design_of(trained))
+    assert frame.count() == hr.count()
