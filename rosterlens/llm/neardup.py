@@ -7,7 +7,8 @@ signature is split into chunks; two signatures that differ in fewer than
 up to ``ERRORS`` positions.  Every choice of ``ERRORS`` positions of a chunk is
 left out once, so such a pair shares at least one key: none under that distance
 is lost.  With 8 chunks of 4 positions and one error that is a distance of 15
-of 32; a pair with J = 0.85 shares no key with probability 2e-8.
+of 32; a pair with J = 0.85 shares no key with probability 2e-8, one with
+J = 0.8 with probability 1.2e-6.
 
 Keys only propose.  Every proposed pair is confirmed on the full shingle sets.
 
@@ -25,6 +26,7 @@ refuted, or already inside one component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +42,22 @@ WIDTH = 3  # words in a shingle
 PERCENT = 85  # linked when 100 * intersection >= PERCENT * union
 CHUNKS, ROWS, ERRORS, BITS = 8, 4, 1, 16
 POSITIONS = CHUNKS * ROWS
-MAX_DISTANCE = 19  # pairs farther apart are dropped unread; at J = 0.85 more than 19 of 32 differ once in 10^9
+UNREAD = 2e-9  # pairs at the threshold that are dropped unread, because their signatures differ in too many positions
 PIVOT_ROUNDS = 2  # rounds with the best linked member of a bucket as its pivot
 BLOCK = 4096  # members of a bucket that one task compares others with
 SLICE = 4096  # shingles hashed at once
 
+
+def max_distance(percent: int = PERCENT) -> int:
+    """Positions in which signatures of linked sets may differ, but for a share of ``UNREAD``: 19 at 85, 22 at 80."""
+    apart, beyond = 1 - percent / 100, 0.0
+    for n in range(POSITIONS, 0, -1):
+        beyond += math.comb(POSITIONS, n) * apart**n * (1 - apart) ** (POSITIONS - n)
+        if beyond > UNREAD:
+            return n
+    return 0
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint64)
@@ -114,7 +127,7 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
 
-def sketches(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+def sketches(docs: DataFrame, id_column: str, text: str, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, print, signature) of every row; print and signature are null for empty sets."""
     id_type = docs.schema[id_column].dataType
     kept = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
@@ -123,7 +136,7 @@ def sketches(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         for batch in batches:
             sizes, prints, made = [], [], []
             for value in batch.column("text"):
-                shingles = shingle_hashes(value.as_py())
+                shingles = shingle_hashes(value.as_py(), width)
                 sizes.append(len(shingles))
                 prints.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                 made.append(signature(shingles) if len(shingles) else None)
@@ -157,11 +170,13 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Data
     side = lambda name: classes.select(F.col("class").alias(name), F.col("n_shingles").alias(f"n_{name}"),
                                        F.col("signature").alias(f"s_{name}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(
-        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_distance(F.col("s_a"), F.col("s_b")) <= MAX_DISTANCE)
+        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (_distance(F.col("s_a"), F.col("s_b")) <= max_distance(percent))
     ).select("a", "b", "n_a", "n_b")
 
 
-def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
+def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str,
+               width: int = WIDTH) -> DataFrame:
     """(class, shingles) of the classes in ``wanted``, stored.
 
     Only texts with one of their ids are read again, one per class: by the
@@ -171,7 +186,7 @@ def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_column
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(value.as_py()) for value in batch.column("text")]
+            sets = [shingle_hashes(value.as_py(), width) for value in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["print", "shingles"])
@@ -323,9 +338,13 @@ def _cross_pairs(split: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     return dealt.mapInArrow(compare, _schema(("a", T.LongType()), ("b", T.LongType()))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                    width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
+    Linked are rows whose sets of ``width``-word shingles have a similarity of
+    ``percent`` or more.
+
     Null, empty and wordless texts have no shingle and are linked with nothing:
     their component is their own id.  Repeated rows stay; rows with one id and
     different texts are told apart by their texts.  A null id is never the
@@ -333,7 +352,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     Long texts are hashed whole, in slices.  Other columns do not take part.
     An empty table gives an empty result.
     """
-    sketched = stored(sketches(docs, id_column, text), "sketches")
+    sketched = stored(sketches(docs, id_column, text, width), "sketches")
     filled = sketched.where(F.col("n_shingles") > 0)
     # One row per distinct shingle set, numbered in the stored table.
     classes = stored(filled.groupBy("print").agg(
@@ -347,7 +366,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         close = stored(_close(pairs, classes, percent), "close")
         if sets is None:
-            sets = class_sets(close.select(F.explode(F.array("a", "b")).alias("class")), classes, docs, id_column, text)
+            sets = class_sets(close.select(F.explode(F.array("a", "b")).alias("class")), classes, docs, id_column, text, width)
         return stored(confirmed(close, sets, percent), "links")
 
     tested = stored(members.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "tested")
@@ -361,7 +380,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             break
         groups = stored(components(links), "groups")
     undecided = _split_buckets(members, groups)
-    sets = class_sets(undecided, classes, docs, id_column, text)
+    sets = class_sets(undecided, classes, docs, id_column, text, width)
     more = linked(_cross_pairs(undecided, classes, sets, percent).join(tested, ["a", "b"], "left_anti"), sets)
     if not more.isEmpty():
         groups = stored(components(links.unionByName(more)), "groups")

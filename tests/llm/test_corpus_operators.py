@@ -120,6 +120,17 @@ def test_a_large_group_costs_few_pairs(spark):
     assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
+def test_width_and_share_can_be_set(spark):
+    words = [f"w{i}" for i in range(2000)]
+    appended = words[:200] + [f"x{i}" for i in range(44)]  # 0.82 on three and on five words
+    scattered = [f"y{i}" if i % 40 == 20 else w for i, w in enumerate(words[1000:1400])]  # 0.86 on three words, 0.77 on five
+    rows = [(0, words[:200]), (1, appended), (2, words[1000:1400]), (3, scattered)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    found = lambda **rule: {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, **rule).collect()}
+    assert found(percent=80, width=5) == {0: 0, 1: 0, 2: 2, 3: 3} and found() == {0: 0, 1: 1, 2: 2, 3: 2}
+    assert (neardup.max_distance(85), neardup.max_distance(80)) == (19, 22)
+
+
 # --- shards ----------------------------------------------------------------------------
 
 def test_small_shards_equal_sql(spark):
