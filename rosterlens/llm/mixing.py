@@ -36,14 +36,15 @@ def exponential_key(identity: Column, weight: Column) -> Column:
     return -F.log((bits + 0.5) / F.lit(float(2**52))) / weight
 
 
-def sized_rows(docs: DataFrame, id_column: str, text: str, source: str) -> DataFrame:
-    """(id, source, size, key): what the mix needs of a row.  Null texts have size 0."""
+def sized_rows(docs: DataFrame, id_column: str, text: str, source: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, size, key): what the mix needs of a row, and the columns ``carry``.  Null texts have size 0."""
     content = F.coalesce(F.col(text), F.lit(""))
     counted = docs.select(
         F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         F.regexp_count(content, F.lit(SYMBOLS)).alias("symbols"),
-        F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit("|"), content).alias("identity"))
-    return counted.select("id", "source", "size", exponential_key(
+        F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit("|"), content).alias("identity"),
+        *carry)
+    return counted.select("id", "source", "size", *carry, exponential_key(
         F.col("identity"), quality_weight(F.col("size"), F.col("symbols"))).alias("key"))
 
 
@@ -77,8 +78,8 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoc
 
 
 def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",
-                weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(id, size, source_size, target, taken) for every row.
+                weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, size, source_size, target, taken) and the columns ``carry`` for every row.
 
     ``taken`` counts words: complete epochs of the row, plus the whole row or
     nothing of it in the fractional part; the one document on which the budget
@@ -87,7 +88,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     Rows equal in id and text share what their group takes evenly, rounded
     down.  The same input always gives the same mix.
     """
-    rows = stored(sized_rows(docs, id_column, text, source), "rows")
+    rows = stored(sized_rows(docs, id_column, text, source, carry), "rows")
     targets = stored(source_targets(rows, weights, max_epochs), "targets")
     bucket = F.floor(F.log2("key") * BUCKETS_PER_OCTAVE).cast("long")
     keyed = rows.withColumn("bucket", bucket)
@@ -109,7 +110,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     given = F.floor(F.greatest(F.lit(0), F.least(room, F.col("n") * F.col("size"))) / F.col("n")).cast("long")
     partial = last.select(F.col("source").alias("p_source"), F.col("id").alias("p_id"), F.col("size").alias("p_size"),
                           F.col("key").alias("p_key"), given.alias("given"))
-    final = ["id", "size", "source_size", "target"]
+    final = ["id", "size", "source_size", "target", *carry]
     whole = placed.where("bucket <> end").select(
         *final, (F.col("epochs") * F.col("size") + F.when(F.col("bucket") < F.col("end"), F.col("size")).otherwise(0)).alias("taken"))
     ending = placed.where("bucket = end").join(
@@ -125,12 +126,15 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     The document on which a source's budget ends stands once more with its
     first words, joined by spaces.  Documents not taken are left out; columns
     stay, ``n_chars`` follows a cut text.  Rows equal in id are told apart by
-    their size.
+    their texts and sources.
     """
-    taken = mix_sources(docs, id_column, text, source, weights, max_epochs).groupBy(F.col(id_column).alias("_id"), F.col("size").alias("_size")) \
+    marked = docs.withColumns({"_print": F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))), "_from": F.col(source)})
+    # Rows equal in id, text and source take the same number of words.
+    taken = mix_sources(marked, id_column, text, source, weights, max_epochs, ("_print", "_from")).groupBy(
+        F.col(id_column).alias("_id"), F.col("_print").alias("_text"), F.col("_from").alias("_source"), F.col("size").alias("_size")) \
         .agg(F.max("taken").alias("_taken")).where("_taken > 0")
-    joined = docs.withColumn("_words", word_count(F.col(text))).join(
-        taken, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    joined = marked.join(taken, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_text"))
+                         & F.col("_from").eqNullSafe(F.col("_source")))
     times, left = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     parts = F.when(left > 0, F.concat(F.array_repeat(F.lit(0), times), F.array(left))).otherwise(F.array_repeat(F.lit(0), times))
     placed = joined.withColumn("_part", F.explode(parts))

@@ -391,3 +391,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     joined = filled.select("doc_id", "n_shingles", "print").join(labels, "print").select("doc_id", "n_shingles", "component_id")
     alone = sketched.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                  width: int = WIDTH) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns.
+
+    It is the row with the smallest id (a null id comes last), then the
+    smallest MD5 of the text; of rows equal in both the one smallest in the
+    other columns.  Rows without a word are linked with nothing and all stay.
+    """
+    key = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"),
+                   F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("print"))
+    keyed = docs.withColumn("_key", key)
+    found = near_duplicates(keyed, "_key", text, percent, width).where("kept").groupBy(F.col("doc_id").alias("_key")).agg(
+        ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("repeated"))
+    kept = stored(found, "kept")
+    once = keyed.join(kept.where("not repeated").select("_key"), "_key", "left_semi").select(*docs.columns)
+    repeated = keyed.join(kept.where("repeated").select("_key"), "_key", "left_semi")
+    return once.unionByName(repeated.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))

@@ -394,3 +394,26 @@ def test_stages_of_the_pipeline(spark):
             assert sizes[name] == kept and all(plain_spans(r["text"]) == "" for r in at.collect())
     assert sizes["language_id"] == docs.count()
     assert corpus_pipeline.run(spark, SMALL).count() == sizes["best_fit_packing"]
+
+
+def test_one_row_per_group_and_per_text(spark):
+    sentence = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, sentence("a"), "s"), (1, sentence("a"), "r"), (1, sentence("a"), "s"),  # a repeated row, once from another source
+            (0, sentence("b"), "s"), (2, sentence("b"), "s"), (2, sentence("c"), "s"),  # id 2: a copy of 0, and a text of its own
+            (None, sentence("d"), "s"), (None, sentence("d"), "s"), (None, sentence("a"), "s"), (None, sentence("e"), "s"),
+            (8, None, "s"), (None, "", "s"), (None, "", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r["doc_id"], (r["text"] or "")[:1], r["source"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SMALL).collect())
+    assert got == Counter({(1, "a", "r"): 1, (0, "b", "s"): 1, (2, "c", "s"): 1, (None, "d", "s"): 1, (None, "e", "s"): 1,
+                           (8, "", "s"): 1, (None, "", "s"): 2})
+
+
+def test_the_mix_tells_texts_of_one_id_and_size_apart(spark):
+    rows = [(None, " ".join(f"{s}{i}w{j}" for j in range(10)), s) for s in ("s", "r") for i in range(20)] + [(None, "same for both", s) for s in "rs"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        words[r["source"]] += len(r["text"].split())
+    assert words == {t["source"]: round(t["target"]) for t in mixing.source_targets(
+        mixing.sized_rows(docs, "doc_id", "text", "source")).collect()}
