@@ -185,6 +185,15 @@ def test_copies_of_a_page_are_no_template(spark):
     assert html.extract_main_text(pages.limit(0)).collect() == []
 
 
+def test_many_pages_show_a_template_whatever_their_share(spark):
+    page = "<body>{box}<p>Story {i} tells {i}.</p></body>"
+    rows = [(i, "http://big.example.com/", page.format(i=i, box="<div class='q'>Campaign</div>" if i < 120 else "<div>Twice</div>" if i < 122 else ""))
+            for i in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    text = {r["page_id"]: r["text"] for r in html.extract_main_text(pages).collect()}
+    assert len(text) == 1000 and text[5] == "Story 5 tells 5." and text[121] == "Twice\nStory 121 tells 121."
+
+
 def test_articles_stay_whole_over_the_whole_table(spark):
     rows = queries.op3_html_extraction(spark, MEDIUM).collect()
     sources = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{MEDIUM}/pages.parquet").collect()}
