@@ -2,7 +2,7 @@
 
 The others are compared with brute force in ``tests/llm``: the randomness tests
 (1), HTML trees (3), a fitted classifier (4), an approximate index (7) and
-token ids (10) are outside SQL.
+token ids (10, 12) are outside SQL.
 """
 
 from __future__ import annotations
@@ -140,10 +140,68 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 FROM ordered
 """
 
+_FINITE = "embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)"
+
+
+def clusters_sql(k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Lloyd's rounds written out: every vector against every centroid, in integers."""
+    def assigned(turn: int) -> str:
+        gap = f"list_sum([CAST((v.q[i] - c.q[i]) * (v.q[i] - c.q[i]) AS BIGINT) FOR i IN range(1, {dim + 1})])"
+        return f"""a{turn} AS MATERIALIZED (
+          SELECT row_id, vec_id, q, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+            SELECT v.row_id, v.vec_id, v.q, c.cluster, CAST({gap} AS BIGINT) AS d FROM v, c{turn} c)
+          GROUP BY row_id, vec_id, q)"""
+
+    def moved(turn: int) -> str:
+        return f"""s{turn} AS MATERIALIZED (
+          SELECT cluster, i, CAST(sum(q[i]) AS BIGINT) AS s, count(*) AS n
+          FROM (SELECT cluster, q, unnest(range(1, {dim + 1})) AS i FROM a{turn}) GROUP BY cluster, i),
+        c{turn + 1} AS MATERIALIZED (
+          SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{turn} c LEFT JOIN (
+            SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM s{turn} GROUP BY cluster) m ON m.cluster = c.cluster)"""
+
+    steps = ",\n".join(f"{assigned(t)},\n{moved(t)}" for t in range(rounds))
+    return f"""
+    WITH v AS MATERIALIZED (
+      SELECT row_number() OVER () AS row_id, vec_id, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+      FROM embeddings WHERE {_FINITE} AND len(embedding) = {dim}),
+    c0 AS MATERIALIZED (
+      SELECT CAST(row_number() OVER (ORDER BY h, q) - 1 AS INTEGER) AS cluster, q FROM (
+        SELECT q, sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h, q LIMIT {k})),
+    {steps},
+    {assigned(rounds)}
+    SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+           CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster
+    """
+
+
+NEGATIVES = f"""
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+       s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+WHERE 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op2_quality_rules": QUALITY,
     "op5_minhash_dedup": NEAR_DUPLICATES,
     "op6_extendible_sharding": shards_sql(),
     "op8_chat_format": CHAT,
     "op9_source_mixing": MIXING,
+    "op11_shallot_clustering": clusters_sql(),
+    "op13_hard_negatives": NEGATIVES,
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import ann, chat, html, langid, mixing, neardup, packing, quality, secrets, sharding
+from rosterlens.llm import (ann, bpe, chat, html, langid, mixing, neardup, negatives, packing, quality, secrets, shallot,
+                            sharding)
 from rosterlens.llm.shared import doc_table
 
 
@@ -72,8 +73,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(doc_table(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_shallot_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds, with distances and inertia in integers."""
+    return shallot.clustering_report(*shallot.cluster_vectors(doc_table(spark, sf_dir, "embeddings")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes they decode to."""
+    coded = bpe.encode_and_decode(doc_table(spark, sf_dir).select("doc_id", "text"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every row whose id is divisible by 100."""
+    return negatives.hard_negatives(doc_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=negatives.shifted_labels())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_quality_rules, op3_html_extraction, op4_language_id, op5_minhash_dedup, op6_extendible_sharding,
-        op7_permutation_index, op8_chat_format, op9_source_mixing, op10_best_fit_packing)
+        op7_permutation_index, op8_chat_format, op9_source_mixing, op10_best_fit_packing, op11_shallot_clustering, op12_byte_bpe,
+        op13_hard_negatives)
 }

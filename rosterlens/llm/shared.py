@@ -28,6 +28,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row, however often the body refers to it."""
     return F.transform(F.array(value), body)[0]
