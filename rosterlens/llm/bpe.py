@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-KNOWN_PIECES, KNOWN_LENGTH = 1 << 17, 64  # encodings of short pieces that a worker remembers
-KNOWN_PAIRS = 1 << 18  # pairs of tokens for which it remembers whether they are merged
+KNOWN_PIECES, KNOWN_LENGTH = 1 << 19, 32  # encodings of short pieces that a worker remembers
+KNOWN_PAIRS = 1 << 19  # pairs of tokens for which it remembers whether they are merged
 STREAMED = 1 << 20  # characters from which a text's pieces are not listed all at once
 
 
