@@ -11,6 +11,7 @@ join puts the result together.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -28,12 +29,13 @@ END_ID = 0  # closes every document
 ITEMS = 25_000  # items in one task
 NEARLY_FULL = 0.99  # share of the capacity at which a bin is emitted
 LEAST_SAVING = 0.005  # a round that saves a smaller share of the bins is the last
+LONG_RUN = re.compile(r"\s{20000}")  # beyond some hundred thousand the fast encoder's pattern gives up
 TOKENIZER = "byte_bpe_50k"  # <name>.json and the same vocabulary as ranks, <name>.tiktoken
 
 
 @lru_cache(maxsize=2)
 def _encoders(name: str):
-    """Fast encoder for ordinary text, and the tokenizer file itself for texts that spell a special token."""
+    """Fast encoder for ordinary text, and the tokenizer file itself for the rest: special tokens, very long white space."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -51,7 +53,7 @@ def token_ids(text: str | None, name: str = TOKENIZER) -> np.ndarray:
     fast, exact, special = _encoders(name)
     if not text:
         ids: list[int] | np.ndarray = []
-    elif any(token in text for token in special):
+    elif any(token in text for token in special) or LONG_RUN.search(text):
         ids = exact.encode(text, add_special_tokens=False).ids
     else:
         ids = fast.encode_to_numpy(text, disallowed_special=())
