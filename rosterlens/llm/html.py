@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlens.llm.shared import stored
+from rosterlens.llm.shared import free_names, stored
 
 SHARE, LEAST_PAGES = 0.2, 3  # a template is on at least this share of a host's pages, and on so many
 WHOLE = 0  # stands for the page itself among the hashes
@@ -298,6 +298,9 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", na
         sets = ((frozenset(x) if x is not None else frozenset()) for x in lists)
         return pd.Series([main_text(source, found) for source, found in zip(sources, sets)], dtype=object)
 
-    keyed = pages.withColumns({"_host": _host(url), "_page": F.xxhash64(html)}).join(own.select(
-        F.col("host").alias("_host"), F.col("page").alias("_page"), F.col("templates").alias("_templates")), ["_host", "_page"], "left")
-    return keyed.withColumn(name, extract(F.col(html), F.col("_templates"))).drop("_host", "_page", "_templates")
+    host, page, found = free_names(pages, "_host", "_page", "_templates")
+    keyed = pages.withColumns({host: _host(url), page: F.xxhash64(html)}).join(own.select(
+        F.col("host").alias(host), F.col("page").alias(page), F.col("templates").alias(found)), [host, page], "left")
+    kept = [c for c in pages.columns if c.lower() != name.lower()]
+    return keyed.select(*kept, extract(F.col(html), F.col(found)).alias(name)).select(
+        *(name if c.lower() == name.lower() else c for c in pages.columns), *([] if len(kept) < len(pages.columns) else [name]))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlens.llm.shared import stored, word_count, words_of
+from rosterlens.llm.shared import free_names, stored, word_count, words_of
 
 WEIGHTS = (1, 2, 3)  # of the sources in code-point order, repeating
 MAX_EPOCHS = 3
@@ -128,19 +128,23 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     stay, ``n_chars`` follows a cut text.  Rows equal in id are told apart by
     their texts and sources.
     """
-    marked = docs.withColumns({"_print": F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))), "_from": F.col(source)})
+    own_print, origin, row_id, row_text, row_source, size, take, part = free_names(
+        docs, "_print", "_from", "_id", "_text", "_source", "_size", "_taken", "_part")
+    marked = docs.withColumns({own_print: F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))), origin: F.col(source)})
+    known = marked.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"),
+                          F.col(own_print).alias("print"), F.col(origin).alias("origin"))
     # Rows equal in id, text and source take the same number of words.
-    taken = mix_sources(marked, id_column, text, source, weights, max_epochs, ("_print", "_from")).groupBy(
-        F.col(id_column).alias("_id"), F.col("_print").alias("_text"), F.col("_from").alias("_source"), F.col("size").alias("_size")) \
-        .agg(F.max("taken").alias("_taken")).where("_taken > 0")
-    joined = marked.join(taken, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_text"))
-                         & F.col("_from").eqNullSafe(F.col("_source")))
-    times, left = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    taken = mix_sources(known, weights=weights, max_epochs=max_epochs, carry=("print", "origin")).groupBy(
+        F.col("doc_id").alias(row_id), F.col("print").alias(row_text), F.col("origin").alias(row_source), F.col("size").alias(size)) \
+        .agg(F.max("taken").alias(take)).where(F.col(take) > 0)
+    joined = marked.join(taken, F.col(id_column).eqNullSafe(F.col(row_id)) & (F.col(own_print) == F.col(row_text))
+                         & F.col(origin).eqNullSafe(F.col(row_source)))
+    times, left = F.floor(F.col(take) / F.col(size)).cast("int"), (F.col(take) % F.col(size)).cast("int")
     parts = F.when(left > 0, F.concat(F.array_repeat(F.lit(0), times), F.array(left))).otherwise(F.array_repeat(F.lit(0), times))
-    placed = joined.withColumn("_part", F.explode(parts))
-    cut = F.when(F.col("_part") == 0, F.col(text)).otherwise(F.array_join(F.slice(words_of(F.col(text)), 1, F.col("_part")), " "))
+    placed = joined.withColumn(part, F.explode(parts))
+    cut = F.when(F.col(part) == 0, F.col(text)).otherwise(F.array_join(F.slice(words_of(F.col(text)), 1, F.col(part)), " "))
     result = placed.withColumn(text, cut)
     if "n_chars" in docs.columns:
-        result = result.withColumn("n_chars", F.when(F.col("_part") == 0, F.col("n_chars")).otherwise(
+        result = result.withColumn("n_chars", F.when(F.col(part) == 0, F.col("n_chars")).otherwise(
             F.char_length(text)).cast(docs.schema["n_chars"].dataType))
     return result.select(*docs.columns)
