@@ -19,9 +19,14 @@ several components, the member with the most links so far.  That joins a group
 of g near copies by about g pairs.  What is left are classes that share a
 bucket with a component they may not belong to.  For these, members outside a
 bucket's largest component are compared with the bucket's other members, block
-by block, through an inverted file of 16 bits of every shingle.  That bounds the
-intersection from above, so only pairs that may be linked become rows.  Every pair that shares a key is thus confirmed,
-refuted, or already inside one component.
+by block in tasks, through an inverted file of 16 bits of every shingle.  That
+bounds the intersection from above.  A pair that may be linked joins the two
+components for the rest of the block, so a block proposes fewer pairs than it
+has components, whatever its size.  Proposals are confirmed like all others.
+Buckets in which one was refuted, or that have several blocks, are compared once
+more by whole shingles, block against block, as far as they still hold several
+components.  Every pair that shares a key is thus confirmed, refuted, or inside
+one component.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlens.llm.shared import stored
+from rosterlens.llm.shared import free_names, stored
 
 WIDTH = 3  # words in a shingle
 PERCENT = 85  # linked when 100 * intersection >= PERCENT * union
@@ -44,7 +49,7 @@ CHUNKS, ROWS, ERRORS, BITS = 8, 4, 1, 16
 POSITIONS = CHUNKS * ROWS
 UNREAD = 2e-9  # pairs at the threshold that are dropped unread, because their signatures differ in too many positions
 PIVOT_ROUNDS = 2  # rounds with the best linked member of a bucket as its pivot
-BLOCK = 4096  # members of a bucket that one task compares others with
+BLOCK, VOLUME = 4096, 1 << 22  # members of a bucket, and their shingles, that one task compares others with
 SLICE = 4096  # shingles hashed at once
 
 
@@ -258,13 +263,17 @@ def _pivot_pairs(members: DataFrame, groups: DataFrame, links: DataFrame) -> Dat
         F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).distinct()
 
 
-def _split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, class, component, largest, members) of the members of buckets that hold several components."""
-    placed = _placed(members, groups)
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+def _split_buckets(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, class, component, largest, blocks) of the members of buckets that hold several components.
+
+    A bucket is cut into blocks of about ``BLOCK`` members and ``VOLUME`` shingles.
+    """
+    placed = _placed(members, groups).join(classes.select("class", "n_shingles"), "class")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("volume"))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("volume") / VOLUME)).cast("int")
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
-                                       F.count(F.lit(1)).alias("several"), F.sum("n").alias("members")).where("several > 1")
-    return stored(placed.join(largest.select("key", "largest", "members"), "key"), "split")
+                                       F.count(F.lit(1)).alias("several"), blocks.alias("blocks")).where("several > 1")
+    return stored(placed.drop("n_shingles").join(largest.select("key", "largest", "blocks"), "key"), "split")
 
 
 class _Bucket:
@@ -272,58 +281,80 @@ class _Bucket:
 
     def __init__(self, percent: int):
         self.percent, self.held, self.asking = percent, [], []
+        self.roots: dict[int, int] = {}  # components that a link has joined, to one of them
+
+    def root(self, component: int) -> int:
+        while (above := self.roots.get(component, component)) != component:
+            self.roots[component] = self.roots.get(above, above)
+            component = above
+        return component
 
-    def pairs(self) -> list[np.ndarray]:
-        """(asker, member) rows of different components that may be linked; forgets the askers."""
-        found: list[np.ndarray] = []
+    def links(self) -> list[tuple[int, int]]:
+        """(asker, member) rows that join two components each; forgets the askers.
+
+        A member of the asker's own component, as joined so far, is not looked
+        at, so there are fewer rows than components.
+        """
+        found: list[tuple[int, int]] = []
         if self.asking and self.held:
-            names, components, sizes = (np.array([row[i] for row in self.held]) for i in range(3))
+            names, sizes = (np.array([row[i] for row in self.held]) for i in (0, 2))
+            roots = np.array([self.root(row[1]) for row in self.held])
             lengths = np.array([len(row[3]) for row in self.held])
             values = np.concatenate([row[3] for row in self.held])
             order = np.argsort(values, kind="stable")
             values, owners = values[order], np.repeat(np.arange(len(lengths)), lengths)[order]
             for name, component, size, own in self.asking:
+                if (roots == self.root(component)).all():
+                    continue
                 first, last = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
                 counts = last - first
                 hits = np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)
-                # 16 bits may stand for several shingles of a set, so those count as shared.
+                # A shortened value may stand for several shingles of a set, so those count as shared.
                 shared = np.bincount(owners[hits], minlength=len(lengths)) + np.minimum(size - len(own), sizes - lengths)
-                near = np.flatnonzero((100 * shared >= self.percent * (size + sizes - shared)) & (components != component))
-                if len(near):
-                    found.append(np.stack([np.full(len(near), name), names[near]], axis=1))
+                mine = self.root(component)
+                near = np.flatnonzero((roots != mine) & (100 * shared >= self.percent * (size + sizes - shared)))
+                while len(near):
+                    found.append((name, int(names[near[0]])))
+                    joined = int(roots[near[0]])
+                    self.roots[joined] = mine
+                    roots[roots == joined] = mine
+                    near = near[roots[near] != mine]
         self.asking = []
         return found
 
 
-def _cross_pairs(split: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be linked.
+def _cross_links(split: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT, exact: bool = False) -> DataFrame:
+    """(key, a, b): for each block of a bucket, pairs that share the key and join its components.
 
-    Members outside a bucket's largest component ask, all members are held.  A
-    bucket above ``BLOCK`` members is cut into blocks; its askers go to each.
+    Members outside a bucket's largest component ask, all members are held.
+    Without ``exact`` members are compared with those of their own block by 16
+    bits of every shingle, so the pairs may be linked; with it the askers go to
+    every block of their bucket, whole shingles are compared, and the pairs are.
     """
     short = F.array_distinct(F.transform("shingles", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short")))
-    test = classes.select("class", "n_shingles").join(sets.select("class", short.alias("short")), "class")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    test = classes.select("class", "n_shingles").join(sets.select("class", (F.col("shingles") if exact else short).alias("values")), "class")
+    blocks = F.col("blocks")
     place = lambda block, holds, asks: F.struct(block.alias("block"), holds.alias("holds"), asks.alias("asks"))
     outside, true, false = F.col("component") != F.col("largest"), F.lit(True), F.lit(False)
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    places = F.when(blocks == 1, F.array(place(F.lit(0), true, outside))).when(~outside, F.array(place(own, true, false))).otherwise(
-        F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: place(b, b == own, true)))
+    everywhere = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: place(b, b == own, true))
+    places = F.when(outside, everywhere).otherwise(F.array(place(own, true, false))) if exact else F.array(place(own, true, outside))
     rows = split.select("key", "class", "component", F.explode(places).alias("at")).join(test, "class").select(
-        "key", "at.block", "at.holds", "at.asks", "class", "component", "n_shingles", "short")
+        "key", "at.block", "at.holds", "at.asks", "class", "component", "n_shingles", "values")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def answer(key: int, found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             if found:
-                both = np.sort(np.concatenate(found), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                both = np.sort(np.array(found, np.int64), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), key, np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                                                 ["key", "a", "b"])
 
-        current, bucket = None, _Bucket(percent)
+        current, bucket = (None, None), _Bucket(percent)
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("key", "block", "holds", "asks", "class", "component", "n_shingles")]
-            for key, block, holds, asks, name, component, size, values in zip(*columns, batch.column("short")):
+            for key, block, holds, asks, name, component, size, values in zip(*columns, batch.column("values")):
                 if (key, block) != current:
-                    yield from answer(bucket.pairs())
+                    yield from answer(current[0], bucket.links())
                     current, bucket = (key, block), _Bucket(percent)
                 row = (name, component, size, values.values.to_numpy())
                 if holds:
@@ -331,11 +362,11 @@ def _cross_pairs(split: DataFrame, classes: DataFrame, sets: DataFrame, percent:
                 if asks:
                     bucket.asking.append(row)
                 if not holds and len(bucket.asking) >= BLOCK:  # held members come first, so the block is complete
-                    yield from answer(bucket.pairs())
-        yield from answer(bucket.pairs())
+                    yield from answer(key, bucket.links())
+        yield from answer(current[0], bucket.links())
 
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("holds"))
-    return dealt.mapInArrow(compare, _schema(("a", T.LongType()), ("b", T.LongType()))).distinct()
+    return dealt.mapInArrow(compare, _schema(("key", T.LongType()), ("a", T.LongType()), ("b", T.LongType())))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT,
@@ -379,11 +410,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         if more.isEmpty():
             break
         groups = stored(components(links), "groups")
-    undecided = _split_buckets(members, groups)
+    undecided = _split_buckets(members, groups, classes)
     sets = class_sets(undecided, classes, docs, id_column, text, width)
-    more = linked(_cross_pairs(undecided, classes, sets, percent).join(tested, ["a", "b"], "left_anti"), sets)
+    proposed = stored(_cross_links(undecided, classes, sets, percent), "proposed")
+    more = linked(proposed.select("a", "b").distinct(), sets)
     if not more.isEmpty():
-        groups = stored(components(links.unionByName(more)), "groups")
+        links = links.unionByName(more)
+        groups = stored(components(links), "groups")
+    # A refuted proposal may have stood in for others, and blocks have not met: such buckets are compared exactly.
+    refuted = proposed.join(more, ["a", "b"], "left_anti").select("key")
+    apart = undecided.where("blocks > 1").select("key")
+    again = _split_buckets(members.join(refuted.unionByName(apart).distinct(), "key", "left_semi"), groups, classes)
+    last = stored(_cross_links(again, classes, sets, percent, exact=True).select("a", "b").distinct(), "links")
+    if not last.isEmpty():
+        groups = stored(components(links.unionByName(last)), "groups")
 
     named = classes.join(groups, "class").groupBy("component").agg(F.min("first_id").alias("component_id"))
     labels = classes.join(groups.join(named, "component").select("class", F.col("component_id").alias("linked")), "class", "left") \
@@ -398,15 +438,17 @@ def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     """One row of each group of near-duplicates, with all its columns.
 
     It is the row with the smallest id (a null id comes last), then the
-    smallest MD5 of the text; of rows equal in both the one smallest in the
-    other columns.  Rows without a word are linked with nothing and all stay.
+    smallest MD5 of the text; of rows equal in both the one whose columns
+    are smallest as JSON text.  Rows without a word are linked with nothing and all stay.
     """
     key = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"),
                    F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("print"))
-    keyed = docs.withColumn("_key", key)
-    found = near_duplicates(keyed, "_key", text, percent, width).where("kept").groupBy(F.col("doc_id").alias("_key")).agg(
+    mark, = free_names(docs, "_key")
+    keyed = docs.withColumn(mark, key)
+    found = near_duplicates(keyed, mark, text, percent, width).where("kept").groupBy(F.col("doc_id").alias(mark)).agg(
         ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("repeated"))
     kept = stored(found, "kept")
-    once = keyed.join(kept.where("not repeated").select("_key"), "_key", "left_semi").select(*docs.columns)
-    repeated = keyed.join(kept.where("repeated").select("_key"), "_key", "left_semi")
-    return once.unionByName(repeated.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    once = keyed.join(kept.where("not repeated").select(mark), mark, "left_semi").select(*docs.columns)
+    repeated = keyed.join(kept.where("repeated").select(mark), mark, "left_semi")
+    row = F.struct(*docs.columns)  # may hold types without an order, so its text decides
+    return once.unionByName(repeated.groupBy(mark).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rosterlens.llm import ann, chat, mixing, neardup, oracle, packing, queries, sharding
+from rosterlens.llm import ann, chat, html, mixing, neardup, oracle, packing, queries, sharding
 from tests.compare import connect, difference
 from tests.conftest import MEDIUM, SMALL
 from tests.llm.test_text_operators import AWKWARD
@@ -31,14 +31,14 @@ def test_matches_sql(spark, name, folder):
 
 # --- near-duplicates -----------------------------------------------------------------
 
-def shingles(text):
+def shingles(text, width=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return frozenset(tuple(words[i:i + 3]) for i in range(max(1, len(words) - 2))) if words else frozenset()
+    return frozenset(tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def brute_components(rows):
+def brute_components(rows, width=3, percent=85):
     """Smallest id reachable per row, comparing all pairs of different sets."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, width) for i, t in rows}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -51,7 +51,7 @@ def brute_components(rows):
         for b in ids[n + 1:]:
             if sets[a] and sets[b]:
                 shared = len(sets[a] & sets[b])
-                if 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+                if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
                     x, y = sorted((root(a), root(b)))
                     parent[y] = x
     return {i: (len(sets[i]), root(i)) for i in sets}
@@ -120,6 +120,58 @@ def test_a_large_group_costs_few_pairs(spark):
     assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
+def bucket_rows(spark, n, parts):
+    """One bucket of near copies that are still ``parts`` components, and what comparing it needs."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"x{i}" if j == rng.randrange(200) else w for j, w in enumerate(base)) for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = {i: len(neardup.shingle_hashes(t)) for i, t in enumerate(texts)}
+    classes = spark.createDataFrame([(i, sizes[i]) for i in range(n)], "class long, n_shingles long")
+    sets = spark.createDataFrame([(i, neardup.shingle_hashes(t).view("int64").tolist()) for i, t in enumerate(texts)],
+                                 "class long, shingles array<long>")
+    members = spark.createDataFrame([(7, i) for i in range(n)], "key long, class long")
+    groups = spark.createDataFrame([(i, i % parts) for i in range(n)], "class long, component long")
+    return docs, classes, sets, members, groups
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_a_bucket_gives_fewer_rows_than_components(spark, exact):
+    _, classes, sets, members, groups = bucket_rows(spark, 400, 100)
+    split = neardup._split_buckets(members, groups, classes)
+    rows = neardup._cross_links(split, classes, sets, exact=exact).collect()
+    assert len(rows) == 99
+    pairs = neardup._pivot_pairs(members, groups, spark.createDataFrame([], "a long, b long")).count()
+    assert pairs <= 400
+
+
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    _, classes, sets, members, groups = bucket_rows(spark, 120, 60)
+    split = neardup._split_buckets(members, groups, classes)
+    assert split.first()["blocks"] == 8
+    within = neardup._cross_links(split, classes, sets).collect()
+    across = neardup._cross_links(split, classes, sets, exact=True).collect()
+    assert len(within) < 120 and 59 <= len(across) <= 59 * 8
+    links = spark.createDataFrame([(r["a"], r["b"]) for r in across] + [(i, i % 60) for i in range(60, 120)], "a long, b long")
+    assert {r["component"] for r in neardup.components(links).collect()} == {0}
+
+
+def test_shortened_shingles_never_decide(spark, monkeypatch):
+    """Where 16 bits make everything look linked, the exact comparison still finds the true components."""
+    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", 0)
+    rng, rows = random.Random(12), []
+    common = [f"c{i}" for i in range(900)]
+    for i in range(60):  # chains of neighbours around the threshold that share many keys
+        words = list(common)
+        for _ in range(rng.randrange(20, 60)):
+            words[rng.randrange(900)] = f"u{rng.randrange(400)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == brute_components(rows)
+
+
 def test_width_and_share_can_be_set(spark):
     words = [f"w{i}" for i in range(2000)]
     appended = words[:200] + [f"x{i}" for i in range(44)]  # 0.82 on three and on five words
@@ -131,6 +183,25 @@ def test_width_and_share_can_be_set(spark):
     assert (neardup.max_distance(85), neardup.max_distance(80)) == (19, 22)
 
 
+# --- packing of awkward texts: see below -------------------------------------------------
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 300_000, "word" + " " * 400_000 + "x", " \t" * 100_000 + "end"])
+def test_very_long_white_space_is_encoded_as_by_the_file(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize("length", [19_999, 20_000, 20_001])
+def test_both_encoders_agree_at_the_length_that_parts_them(length):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * length, "a" + "\n" * length + "b c"):
+        assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 # --- shards ----------------------------------------------------------------------------
 
 def test_small_shards_equal_sql(spark):
@@ -386,7 +457,7 @@ def test_stages_of_the_pipeline(spark):
         if name != "best_fit_packing":
             assert at.columns == docs.columns and [f.dataType for f in at.schema] == [f.dataType for f in docs.schema]
         if name == "near_duplicates":
-            expected = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+            expected = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], width=5, percent=80)
             assert {r["doc_id"] for r in at.collect()} == {c for _, c in expected.values()}
             kept = sizes[name]
         if name == "secret_scan":
@@ -396,6 +467,27 @@ def test_stages_of_the_pipeline(spark):
     assert corpus_pipeline.run(spark, SMALL).count() == sizes["best_fit_packing"]
 
 
+HELPERS = ("_key _id _text _source _size _taken _part _print _from _found _host _page _templates score lang_pred rejected spans size taken "
+           "target source_size class component key print signature n_shingles kept component_id rank").split()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those the operators use inside, and one of a type without an order."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(5)).withColumns({c: F.lit(f"{c} of the user") for c in HELPERS}).withColumn(
+        "attributes", F.create_map(F.lit("a"), F.lit(1)))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, SMALL).cache()
+        assert at.columns == docs.columns and at.count() > 20, name
+        for row in at.collect():
+            assert all(row[c] == f"{c} of the user" for c in HELPERS) and row["attributes"] == {"a": 1}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, at, SMALL).count() >= at.count()
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").limit(20)
+    marked = pages.withColumns({c: F.lit(f"{c} of the user") for c in HELPERS})
+    assert {tuple(r[c] for c in HELPERS) for r in html.extract_main_text(marked).collect()} == {tuple(f"{c} of the user" for c in HELPERS)}
+
+
 def test_one_row_per_group_and_per_text(spark):
     sentence = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
     rows = [(1, sentence("a"), "s"), (1, sentence("a"), "r"), (1, sentence("a"), "s"),  # a repeated row, once from another source
