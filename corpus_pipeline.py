@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rosterlens.llm import langid, mixing, neardup, packing, secrets
 from rosterlens.llm.shared import doc_table
@@ -12,28 +13,38 @@ from rosterlens.sources.tables import shared_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; those too far from every centroid go.  Learns from the stage's own input."""
+    """Documents of a known language; those too far from every centroid go, null and letterless texts too.
+
+    Learns from the stage's own input.  Repeated rows stay; columns of any name and type pass through unread.
+    """
     model = langid.fit_languages(docs.where(~langid.held_out()))
-    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return langid.identify(rows, model).where("not rejected").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.one_per_group(docs)
+    """One row of each group of documents that share four fifths of their five-word shingles or more.
+
+    The smallest id stays, a null id comes last; documents without a word are no copies and all stay.  Columns of any name pass through.
+    """
+    return neardup.one_per_group(docs, percent=80, width=5)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with each secret in its text replaced by its kind in brackets."""
+    """Every document, with each secret in its text replaced by its kind in brackets; null texts and other columns stay."""
     return secrets.redact_secrets(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document stands once for each time it is taken."""
+    """The mix of sources: a document stands once for each time it is taken.
+
+    A null source is one of its own; documents without a word are never taken; ties go by id and text.  Columns of any name pass through.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of every piece of every document in the packed sequences."""
+    """Place of every piece of every document in the packed sequences; null texts are their closing id alone."""
     return packing.pack_documents(docs)
 
 
