@@ -30,6 +30,7 @@ from rosterlens.functions import expressions as ex
 from rosterlens.functions import fixed_values as fv
 
 BATCH_ROWS = 32_768
+SLICE_LEAVES, MARKED = 256, 10  # leaves handled at once; features up to which all patterns of a leaf have a place
 GROUP_NODES = 500_000  # nodes of the trees that are broadcast together; more trees make more groups
 
 
@@ -54,46 +55,36 @@ def base_value(nodes: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Tree:
-    """The leaves of a tree, ready for batches of rows.
+class Leaves:
+    """Up to ``SLICE_LEAVES`` leaves of a tree that use the same number of features, ready for batches of rows.
 
-    ``places`` has, per feature, the thresholds in order and a table that gives
-    for a value's place among them the bits it sets in every leaf's pattern.
-    ``groups`` has the leaves that use the same number of features: their
-    numbers, features, shares ``z`` and values.
+    ``conditions`` has, per feature, the leaves that use it, the bit it sets in
+    their patterns, and the interval in which a value sets it.  ``features`` and
+    the shares ``z`` have one row per leaf, ``value`` one number.  The size is in
+    proportion to the conditions.
     """
 
-    size: int
-    places: list[tuple[int, np.ndarray, np.ndarray]]
-    groups: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    conditions: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    features: np.ndarray
+    z: np.ndarray
+    value: np.ndarray
 
 
-def prepared(leaves: list[tuple]) -> Tree:
-    """A tree from its leaves (value, features, lower, upper, z)."""
+def prepared(leaves: list[tuple]) -> list[Leaves]:
+    """Slices of a tree's leaves (value, features, lower, upper, z)."""
     sizes = np.array([len(leaf[1]) for leaf in leaves])
-    kind = np.uint16 if sizes.max() <= 15 else np.int64
-    conditions: dict[int, list[tuple]] = {}
-    for leaf, (_, names, lows, highs, _) in enumerate(leaves):
-        for j, (f, low, high) in enumerate(zip(names.tolist(), lows.tolist(), highs.tolist())):
-            conditions.setdefault(f, []).append((leaf, 1 << j, low, high))
-    places = []
-    for f, rows in conditions.items():
-        leaf, bit, low, high = (np.array(part) for part in zip(*rows))
-        cuts = np.unique(np.concatenate([low, high]))
-        cuts = cuts[np.isfinite(cuts)]
-        # Place p holds the values in (cuts[p - 1], cuts[p]].
-        place = np.arange(len(cuts) + 1)[:, None]
-        first = np.where(np.isfinite(low), np.searchsorted(cuts, low) + 1, 0)
-        last = np.searchsorted(cuts, high)
-        table = np.zeros((len(cuts) + 1, len(leaves)), dtype=kind)
-        table[:, leaf] = np.where((place >= first) & (place <= last), bit, 0)
-        places.append((f, cuts, table))
-    groups = []
+    slices = []
     for m in np.unique(sizes[sizes > 0]):
         members = np.flatnonzero(sizes == m)
-        groups.append((members, np.array([leaves[i][1] for i in members]), np.array([leaves[i][4] for i in members]),
-                       np.array([leaves[i][0] for i in members])))
-    return Tree(len(leaves), places, groups)
+        for at in range(0, len(members), SLICE_LEAVES):
+            part = [leaves[i] for i in members[at:at + SLICE_LEAVES]]
+            features, low, high, z = (np.array([leaf[i] for leaf in part]) for i in (1, 2, 3, 4))
+            conditions = []
+            for f in np.unique(features):
+                leaf, place = np.nonzero(features == f)
+                conditions.append((int(f), leaf, 1 << place, low[leaf, place], high[leaf, place]))
+            slices.append(Leaves(conditions, features, z, np.array([leaf[0] for leaf in part])))
+    return slices
 
 
 def tree_groups(nodes: DataFrame, group_nodes: int = GROUP_NODES) -> list[tuple[int, int]]:
@@ -109,7 +100,7 @@ def tree_groups(nodes: DataFrame, group_nodes: int = GROUP_NODES) -> list[tuple[
     return runs
 
 
-def load_trees(nodes: DataFrame, first: int, last: int, count: int) -> list[Tree]:
+def load_trees(nodes: DataFrame, first: int, last: int, count: int) -> list[list[Leaves]]:
     """Trees ``first`` to ``last`` of a forest of ``count``, with leaf values as shares of the forest's mean."""
     frame = nodes.where(F.col("tree").between(first, last)).toPandas()  # about GROUP_NODES rows
     if ((frame["left"] >= 0) & (frame["categories"] >= 0)).any():
@@ -152,22 +143,46 @@ def _pattern_values(codes: np.ndarray, z: np.ndarray, value: np.ndarray) -> np.n
     return value[:, None] * (o - z) * total
 
 
-def shap_matrix(trees: list[Tree], x: np.ndarray) -> np.ndarray:
-    """Contributions of every row and feature, summed over the trees."""
-    out = np.zeros(x.shape)
+def _add_leaves(leaves: Leaves, columns: np.ndarray, out: np.ndarray) -> None:
+    """Add the contributions of some leaves to ``out`` (feature, row), for values ``columns`` (feature, row).
+
+    Patterns that occur are marked in a table of all patterns of a leaf, which
+    then holds their contributions, so a row's are read by its pattern.  Leaves
+    with more than ``MARKED`` features have too many; theirs are sorted.
+    """
+    count, m = leaves.features.shape
+    codes = np.zeros((count, columns.shape[1]), np.uint16 if m <= 15 else np.int64)
+    for f, leaf, bit, low, high in leaves.conditions:
+        inside = columns[f] > low[:, None]
+        inside &= columns[f] <= high[:, None]
+        codes[leaf] |= inside * bit[:, None].astype(codes.dtype)
+    if m > MARKED:
+        for k in range(count):
+            patterns, at = np.unique(codes[k], return_inverse=True)
+            found = _pattern_values(patterns, np.broadcast_to(leaves.z[k], (len(patterns), m)), np.full(len(patterns), leaves.value[k]))
+            for j, f in enumerate(leaves.features[k]):
+                out[f] += found[:, j][at]
+        return
+    marks = np.zeros((count, 1 << m), bool)
+    for k in range(count):
+        marks[k, codes[k]] = True
+    leaf, pattern = np.nonzero(marks)
+    table = np.zeros((m, count, 1 << m))
+    table[:, leaf, pattern] = _pattern_values(pattern, leaves.z[leaf], leaves.value[leaf]).T
+    for k in range(count):
+        at = codes[k].astype(np.intp)
+        for j, f in enumerate(leaves.features[k]):
+            out[f] += table[j, k].take(at, mode="clip")  # all are in range; spares the check
+
+
+def shap_matrix(trees: list[list[Leaves]], x: np.ndarray) -> np.ndarray:
+    """Contributions of every row and feature, summed over the trees; NaN counts as larger than every threshold."""
+    columns = np.ascontiguousarray(np.nan_to_num(x.astype(float), nan=np.inf, posinf=np.inf, neginf=np.finfo(float).min).T)
+    out = np.zeros(columns.shape)
     for tree in trees:
-        codes = sum((table[np.searchsorted(cuts, x[:, f])] for f, cuts, table in tree.places), np.zeros((1, tree.size), np.uint16))
-        for members, features, z, value in tree.groups:
-            m = features.shape[1]
-            keyed = (np.arange(len(members)) << m) | codes[:, members].astype(np.int64)  # leaf and pattern in one number
-            patterns, at = np.unique(keyed, return_inverse=True)
-            leaf = patterns >> m
-            found = _pattern_values(patterns & ((1 << m) - 1), z[leaf], value[leaf])
-            # Per leaf and place of a feature, the rows' values; features may repeat over leaves, so they are added.
-            at = at.reshape(keyed.shape)
-            for k in range(len(members)):
-                out[:, features[k]] += found[at[:, k]]
-    return out
+        for leaves in tree:
+            _add_leaves(leaves, columns, out)
+    return out.T
 
 
 # --- the Spark job -----------------------------------------------------------------
