@@ -3,8 +3,11 @@
 A text becomes a vector of hashed letter n-grams, weighted by TF-IDF and
 brought to length one.  Each language is described by a few centroids of a
 spherical k-means, so dialects or registers need not share one mean.  The
-prediction is the language of the centroid with the largest cosine; a text
-whose cosine stays below ``MIN_COSINE`` is rejected as too far from all.
+prediction is the language of the centroid with the largest cosine.  A text is
+rejected as too far from all when that cosine is below ``SLACK`` times what all
+but a hundredth of the language's own sample rows of about its length reach:
+longer texts come nearer to their centroid, and other languages do not.  Below
+the lengths that the sample covers the limit is ``MIN_COSINE``.
 
 The fit reads a bounded sample: at most ``SAMPLE_ROWS`` labelled rows per
 language, chosen by the hash of the id.  Grouped by language, those are at
@@ -29,7 +32,8 @@ DIMENSIONS = 1 << BITS
 CENTROIDS, ROUNDS = 4, 12
 SAMPLE_ROWS = 400
 SAMPLE_TASKS = 16
-MIN_COSINE = 0.1
+MIN_COSINE, SLACK, LOW_SHARE = 0.1, 0.5, 0.01
+CLASSES, CLASS_ROWS = 32, 20  # lengths by the power of two of their n-grams; sample rows that a limit rests on
 BATCH = 64
 UNKNOWN = "und"
 # Odd multipliers for the places of an n-gram, by n.
@@ -67,15 +71,41 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     return counts
 
 
-def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows with a letter, their TF-IDF vectors of length one), made one text at a time."""
-    places, rows = [], []
+def sized_vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with a letter, their TF-IDF vectors of length one, their length classes), made one text at a time."""
+    places, rows, classes = [], [], []
     for place, counts in enumerate(map(ngram_counts, texts)):
         if counts is not None:
             weighted = np.log1p(counts, dtype=np.float32) * idf
             rows.append(weighted / np.linalg.norm(weighted))
             places.append(place)
-    return np.array(places, int), np.stack(rows) if rows else np.zeros((0, DIMENSIONS), np.float32)
+            classes.append(min(CLASSES, int(counts.sum()).bit_length()) - 1)
+    return np.array(places, int), np.stack(rows) if rows else np.zeros((0, DIMENSIONS), np.float32), np.array(classes, int)
+
+
+def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows with a letter, their vectors)."""
+    return sized_vectors(texts, idf)[:2]
+
+
+def length_limits(cosines: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Smallest cosine that is not rejected, per length class, from a language's own sample rows.
+
+    A class rests on its own rows and those of both neighbours.  Classes with
+    too few rows take the smaller limit of the nearest ones on both sides;
+    below the first the limit is ``MIN_COSINE``, beyond the last that one's.
+    """
+    known = {}
+    for c in range(CLASSES):
+        near = cosines[np.abs(classes - c) <= 1]
+        if len(near) >= CLASS_ROWS:
+            known[c] = max(MIN_COSINE, SLACK * float(np.quantile(near, LOW_SHARE)))
+    limits = np.full(CLASSES, MIN_COSINE)
+    for c in range(CLASSES):
+        below, above = [k for k in known if k <= c], [k for k in known if k >= c]
+        if below:
+            limits[c] = min(known[below[-1]], known[above[0]] if above else np.inf)
+    return limits
 
 
 def spherical_means(rows: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
@@ -98,18 +128,24 @@ class LanguageModel:
     languages: tuple[str, ...]  # of each centroid, in code-point order
     centroids: np.ndarray
     idf: np.ndarray
+    limits: np.ndarray | None = None  # per centroid and length class; None where only ``MIN_COSINE`` counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and largest cosine (0 to 1) of each text; 'und' and 0 without a letter or without a model."""
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """The same, and whether the text is too far from every centroid for its length."""
+        names, scores, far = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
         if self.languages:
             for start in range(0, len(texts), BATCH):
-                at, rows = vectors(texts[start:start + BATCH], self.idf)
+                at, rows, classes = sized_vectors(texts[start:start + BATCH], self.idf)
                 cosines = rows @ self.centroids.T
-                for i, best, cosine in zip(at, cosines.argmax(axis=1), cosines.max(axis=1, initial=-1.0)):
+                for i, best, cosine, length in zip(at, cosines.argmax(axis=1), cosines.max(axis=1, initial=-1.0), classes):
                     names[start + i] = self.languages[best]
                     scores[start + i] = float(min(max(cosine, 0.0), 1.0))
-        return names, scores
+                    far[start + i] = bool(cosine < (MIN_COSINE if self.limits is None else self.limits[best, length]))
+        return names, scores, far
 
 
 def bounded_sample(docs: DataFrame, id_column: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -150,17 +186,21 @@ def fit_languages(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
         def centroids(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["order", "text"])
-            _, made = vectors(group["text"].tolist(), idf)
+            _, made, classes = sized_vectors(group["text"].tolist(), idf)
             means = spherical_means(made)
-            return pd.DataFrame({"label": group["label"].iloc[0], "centre": [list(map(float, m)) for m in means]})
+            limits = length_limits((made @ means.T).max(axis=1), classes)
+            return pd.DataFrame({"label": group["label"].iloc[0], "centre": [list(map(float, m)) for m in means],
+                                 "limits": [limits.tolist()] * len(means)})
 
         found = sample.groupBy("label").applyInPandas(centroids, T.StructType([
-            T.StructField("label", T.StringType()), T.StructField("centre", T.ArrayType(T.FloatType()))])).collect()
+            T.StructField("label", T.StringType()), T.StructField("centre", T.ArrayType(T.FloatType())),
+            T.StructField("limits", T.ArrayType(T.DoubleType()))])).collect()
     finally:
         sample.unpersist()
     found = sorted(found, key=lambda r: (r["label"], r["centre"]))
     centres = np.array([r["centre"] for r in found], np.float32).reshape(len(found), DIMENSIONS)
-    return LanguageModel(tuple(r["label"] for r in found), centres, idf)
+    limits = np.array([r["limits"] for r in found]).reshape(len(found), CLASSES)
+    return LanguageModel(tuple(r["label"] for r in found), centres, idf, limits)
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -168,21 +208,22 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", min_cosine: float = 0.0) -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``rejected``; columns of these names are replaced.
 
     Null, empty and letterless texts are 'und' with score 0 and rejected; so is
     everything if no language was learned.  Equal texts get equal results.
     Ties go to the language first in code-point order.  Only the text counts.
+    ``min_cosine`` rejects whatever is below it, beside the limits of the model.
     """
-    result = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    result = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("far", T.BooleanType())])
 
     @F.pandas_udf(result)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        names, scores = model.predict(texts.tolist())
-        return pd.DataFrame({"lang": names, "score": scores})
+        names, scores, far = model.judge(texts.tolist())
+        return pd.DataFrame({"lang": names, "score": scores, "far": far})
 
     found = docs.withColumn("_found", predict(F.col(text)))
     return found.withColumns({
         "lang_pred": F.col("_found.lang"), "score": F.col("_found.score"),
-        "rejected": (F.col("_found.lang") == UNKNOWN) | (F.col("_found.score") < min_cosine)}).drop("_found")
+        "rejected": F.col("_found.far") | (F.col("_found.score") < min_cosine)}).drop("_found")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,46 @@ def test_the_fit_is_bounded_and_repeats(spark):
     assert set(counts.values()) == {20}
     a, b = langid.fit_languages(docs.repartition(3), rows=40), langid.fit_languages(docs.repartition(5), rows=40)
     assert a.languages == b.languages and abs(a.centroids - b.centroids).max() < 1e-5
+
+
+# --- languages that were not learned --------------------------------------------------
+
+OTHERS = {
+    "same script": "ja on ei se että hän oli ovat mutta kun niin myös kuin sitä tämä joka minä mitä voi olla talo järvi metsä kieli vuosi".split(),
+    "accents": "i w nie na się że z do to jest jak ale po co tak za przez był jego tylko być może gdy dla czy już przed także książka".split(),
+    "other script": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой человек год время дело".split(),
+}
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    return langid.fit_languages(docs.where(~langid.held_out()))
+
+
+@pytest.mark.parametrize("words", [60, 400, 3000, 20_000])
+@pytest.mark.parametrize("name", sorted(OTHERS))
+def test_languages_that_were_not_learned_are_rejected_at_any_length(learned, name, words):
+    rng = random.Random(words)
+    assert learned.judge([" ".join(rng.choices(OTHERS[name], k=words))])[2] == [True]
+
+
+@pytest.mark.parametrize("words", [60, 3000, 20_000])
+def test_random_letters_are_rejected(learned, words):
+    rng = random.Random(words)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(words))
+    assert learned.judge([text])[2] == [True]
+
+
+def test_held_out_documents_are_not_rejected(spark, learned):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").where(langid.held_out()).where("lang is not null")
+    far = langid.identify(docs.select("text"), learned).groupBy("rejected").count().collect()
+    assert {r["rejected"] for r in far} == {False}
+
+
+def test_limits_grow_with_the_length_and_have_a_floor():
+    rng = np.random.default_rng(3)
+    classes = rng.integers(6, 13, 400)
+    limits = langid.length_limits(0.2 + 0.05 * classes + rng.uniform(0, 0.02, 400), classes)
+    assert (limits[:5] == langid.MIN_COSINE).all() and (np.diff(limits[5:13]) >= 0).all() and (limits[14:] == limits[13]).all()
+    assert (langid.length_limits(np.zeros(0), np.zeros(0, int)) == langid.MIN_COSINE).all()
