@@ -2,41 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions import expressions as ex
 from rosterlens.functions import fixed_values as fv
+from rosterlens.operators import leastsquares
 
 Z_95 = 1.959963984540054  # 97.5% point of the normal distribution
-PIVOT_TOLERANCE = 1e-8
 
 
 def aliased_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns that are linear functions of the intercept and earlier columns.
 
-    One distributed pass gives the correlation matrix (columns x columns, so
-    its size does not depend on the rows); eliminating in column order, a pivot
-    near zero marks a redundant column.
+    Two passes: means and deviations, then the triangle of the scaled table.
+    A nearly redundant column stays as long as a share of 1e-10 of its
+    deviation is its own.
     """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df.select(*columns)).select("_v")
-    gram = Correlation.corr(vectors, "_v").first()[0].toArray()
-    aliased, kept = [], []
-    residual = np.array(gram, dtype=float)
-    for i, name in enumerate(columns):
-        pivot = residual[i, i]
-        if not np.isfinite(pivot) or abs(pivot) < PIVOT_TOLERANCE or np.isnan(gram[i, np.array(kept, dtype=int)]).any():
-            aliased.append(name)
-            continue
-        kept.append(i)
-        residual = residual - np.outer(residual[:, i], residual[i, :]) / pivot
-    return aliased
+    return leastsquares.redundant_columns(df, columns, leastsquares.column_scale(df, columns))
 
 
 def logit_inference(train: DataFrame, columns: Sequence[str] = fv.FEATURES, label: str = fv.FLAG) -> DataFrame:
@@ -44,22 +31,23 @@ def logit_inference(train: DataFrame, columns: Sequence[str] = fv.FEATURES, labe
 
     (feature, coef, std_err, z, pvalue, ci_lower, ci_upper, aliased); the
     intercept comes first.  Redundant columns are left out of the fit and get
-    null statistics, since their coefficients are not identified.
+    null statistics, since their coefficients are not identified.  An empty
+    table and values that are null, NaN or infinite raise.
     """
-    aliased = aliased_columns(train, columns)
-    used = [c for c in columns if c not in aliased]
-    numbers = train.select(F.col(label).cast("double").alias(label), *used)
-    data = VectorAssembler(inputCols=used, outputCol="features").transform(numbers).select(label, "features").persist()
+    columns = list(columns)
+    data = train.select(*[F.col(c).cast("double").alias(c) for c in (label, *columns)]).persist()
     try:
-        model = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol=label, maxIter=50, tol=1e-10, regParam=0.0).fit(data)
-        summary = model.summary
-        # Spark lists the intercept's statistics last.
-        errors, zs, ps = summary.coefficientStandardErrors, summary.tValues, summary.pValues
+        scale = leastsquares.column_scale(data, [label, *columns])
+        of = lambda names: leastsquares.Scale(*[
+            np.array([part[1 + columns.index(c)] for c in names]) for part in (scale.mean, scale.deviation)])
+        aliased = leastsquares.redundant_columns(data, columns, of(columns))
+        used = [c for c in columns if c not in aliased]
+        coefficients, covariance = leastsquares.logit_fit(data, label, used, of(used))
     finally:
         data.unpersist()
-    coefficients = [*(float(c) for c in model.coefficients), float(model.intercept)]
-    stats = {name: row for name, row in zip([*used, "intercept"], zip(coefficients, errors, zs, ps))}
+    errors = np.sqrt(np.diag(covariance))
+    stats = {name: (float(c), float(e), float(c / e), math.erfc(abs(c / e) / math.sqrt(2)))
+             for name, c, e in zip(["intercept", *used], coefficients, errors)}
     rows = [(name, *stats.get(name, (None,) * 4), name in aliased) for name in ["intercept", *columns]]
     table = train.sparkSession.createDataFrame(
         rows, "feature string, coef double, std_err double, z double, pvalue double, aliased boolean")

@@ -478,8 +478,8 @@ def logit_odds_ratios(spark, sf_dir):
 
 
 def _logit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = prep.stratified_split(prep.model_frame(hr_raw(spark, sf_dir)))
-    train = prep.label_encode(frame.where("split = 'train'").drop("split"))
+    rows = tables.create_or_replace(prep.model_frame(hr_raw(spark, sf_dir)), _scratch(spark, sf_dir, f"logit/{uuid.uuid4().hex}"))
+    train = prep.label_encode(prep.stratified_split(rows).where("split = 'train'").drop("split"))
     return inference.logit_inference(prep.standard_scale(train, train, fv.FEATURES))
 
 
