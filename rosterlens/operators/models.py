@@ -63,7 +63,7 @@ def feature_importance(model: RandomForestClassificationModel, spark, features:
 
 
 def fold_aucs(df: DataFrame, label: str = fv.FLAG, features: str = "features", k: int = fv.FOLDS,
-              seed: int = fv.SEED, parallelism: int = 2, **forest) -> DataFrame:
+              seed: int = fv.SEED, parallelism: int = 2, fit_partitions: int = FIT_PARTITIONS, **forest) -> DataFrame:
     """(fold, auc): fit on the other folds, evaluate on the fold.
 
     A few fits run side by side so that the short last levels of one forest
@@ -71,10 +71,11 @@ def fold_aucs(df: DataFrame, label: str = fv.FLAG, features: str = "features", k
     """
     spark = df.sparkSession
     folded = stratified_folds(df.select(fv.ID, label, features), label, k=k, seed=seed)
-    folded = training_order(folded).persist()
+    folded = training_order(folded, fit_partitions).persist()
 
     def one(fold: int) -> tuple[int, float]:
-        model = fit_forest(folded.where(F.col("fold") != fold), label, features, seed=seed, **forest)
+        model = fit_forest(folded.where(F.col("fold") != fold), label, features, seed=seed,
+                           fit_partitions=fit_partitions, **forest)
         held_out = score(model, folded.where(F.col("fold") == fold), predicted=None)
         return fold, roc_auc(held_out, label, "score").first()["auc"]
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions import fixed_values as fv
 from rosterlens.operators import explain, models, prep, risk
-from rosterlens.sources.artifacts import RiskModel, discard_artifacts, save_artifacts
+from rosterlens.sources.artifacts import RiskModel, new_version, publish, save_artifacts
 from rosterlens.sources.tables import create_or_replace, settle
 
 READABLE = ("Department", "JobRole", "OverTime")
 
 
-def prepare(hr: DataFrame, path: str, seed: int = fv.SEED) -> tuple[DataFrame, PipelineModel]:
+def prepare(hr: DataFrame, path: str, seed: int = fv.SEED, partitions: int = models.FIT_PARTITIONS) -> tuple[DataFrame, PipelineModel]:
     """Store one design table that training, evaluation and scoring all read.
 
     (id, flag, raw features, split, vector).  The source is read twice: to fit
@@ -25,25 +25,29 @@ def prepare(hr: DataFrame, path: str, seed: int = fv.SEED) -> tuple[DataFrame, P
     """
     frame = prep.model_frame(hr)
     encoder = prep.feature_pipeline().fit(frame)
-    vectors = prep.design_matrix(frame, encoder).repartition(models.FIT_PARTITIONS, fv.ID)
+    vectors = prep.design_matrix(frame, encoder).repartition(partitions, fv.ID)
     rows = create_or_replace(vectors, f"{path}/rows")
     return create_or_replace(prep.stratified_split(rows, seed=seed), f"{path}/design"), encoder
 
 
-def train_risk_model(hr: DataFrame, path: str, scope: str = "all", seed: int = fv.SEED, **forest) -> RiskModel:
-    """Train on all rows or, with ``scope='train'``, on the 80 percent split, and save.
+def train_risk_model(hr: DataFrame, path: str, scope: str = "all", seed: int = fv.SEED,
+                     fit_partitions: int = models.FIT_PARTITIONS, **forest) -> RiskModel:
+    """Train on all rows or, with ``scope='train'``, on the 80 percent split, and publish a new version under ``path``.
 
-    The default values do not depend on the forest, so their jobs run beside it.
-    A model that stood in the folder stops being valid first, so a crash on the
-    way cannot leave a mixture that loads.
+    Rows, design and artifacts go into the version's own folder, which is
+    published last: until then, and after a crash on the way, readers get the
+    version before.  The default values do not depend on the forest, so their
+    jobs run beside it.
     """
-    discard_artifacts(hr.sparkSession, path)
+    folder = new_version(path)
     with ThreadPoolExecutor(1) as pool:
         defaults = pool.submit(lambda: settle(prep.default_values(prep.model_frame(hr))))
-        design, encoder = prepare(hr, path, seed)
+        design, encoder = prepare(hr, folder, seed, fit_partitions)
         rows = design if scope == "all" else design.where(F.col("split") == "train")
-        fitted = models.fit_forest(rows, seed=seed, **forest)
-        return save_artifacts(path, encoder, fitted, fv.FEATURES, defaults.result())
+        fitted = models.fit_forest(rows, seed=seed, fit_partitions=fit_partitions, **forest)
+        model = save_artifacts(folder, encoder, fitted, fv.FEATURES, defaults.result())
+    publish(hr.sparkSession, path, folder)
+    return model
 
 
 def design_of(model: RiskModel) -> DataFrame:

@@ -601,9 +601,11 @@ for _name, _operator in {
 @query
 def holdout_highest_risk_waterfall(spark, sf_dir):
     """Waterfall of the hold-out employee with the highest score."""
-    top = reports.argmax_row(_holdout(spark, sf_dir), risk.SCORE, fv.ID).select(fv.ID)
-    nodes = explain.node_table(spark, _model(spark, sf_dir).forest_path)
-    return explain.waterfall(_explanations(spark, sf_dir).join(F.broadcast(top), fv.ID, "left_semi"), explain.base_value(nodes))
+    model = _model(spark, sf_dir)
+    top = reports.argmax_row(_holdout(spark, sf_dir), risk.SCORE, fv.ID).select(fv.ID)  # one row
+    one = attrition.design_of(model).join(F.broadcast(top), fv.ID, "left_semi")
+    explained = explain.explain_forest(one, model.forest_path, features=model.features)
+    return explain.waterfall(explained, explain.base_value(explain.node_table(spark, model.forest_path)))
 
 
 @query
@@ -766,7 +768,7 @@ def fill_profile(spark, sf_dir):
 
 @query
 def score_profiles(spark, sf_dir):
-    scored = scoring.score_profiles(_model(spark, sf_dir), _profiles(spark, sf_dir).repartition(models.FIT_PARTITIONS, scoring.PROFILE_ID))
+    scored = scoring.score_profiles(_model(spark, sf_dir), _profiles(spark, sf_dir))
     return scored.select(scoring.PROFILE_ID, "probability", "probability_pct", "risk_tier", "verdict")
 
 
@@ -774,7 +776,7 @@ def score_profiles(spark, sf_dir):
 def profile_factors(spark, sf_dir):
     """The six strongest factors of every profile, on the trained forest."""
     model = _model(spark, sf_dir)
-    scored = scoring.score_profiles(model, _profiles(spark, sf_dir).repartition(models.FIT_PARTITIONS, scoring.PROFILE_ID))
+    scored = scoring.score_profiles(model, _profiles(spark, sf_dir))
     return scoring.explain_profiles(model, scored)
 
 

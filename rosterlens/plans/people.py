@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions import fixed_values as fv
 from rosterlens.operators import changes, dictionary, overtime, prep, reports, scoring, sketches
 from rosterlens.sources import tables
-from rosterlens.sources.artifacts import RiskModel, save_artifacts
+from rosterlens.sources.artifacts import RiskModel, load_artifacts, new_version, publish, save_artifacts
 from rosterlens.sources.hr_fixture import hr_raw
 from rosterlens.streaming import overtime as overtime_stream
 from rosterlens.streaming import repeats
@@ -157,6 +157,19 @@ def stump_model(spark: SparkSession, sf_dir: str) -> RiskModel:
     return save_artifacts(_folder(spark, "stump-model"), encoder, forest, ("OverTime",), prep.default_values(frame))
 
 
+def defaults_after_going_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default values of a model whose next version, of one department only, was published and taken back."""
+    first, path = stump_model(spark, sf_dir), _folder(spark, "versions")
+    frame = prep.model_frame(hr_raw(spark, sf_dir))
+    folders = []
+    for rows in (frame, frame.where("Department = 'Sales'")):
+        folders.append(new_version(path))
+        save_artifacts(folders[-1], first.encoder, first.forest, first.features, prep.default_values(rows))
+        publish(spark, path, folders[-1])
+    publish(spark, path, folders[0])
+    return load_artifacts(spark, path).defaults
+
+
 def _open_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of all employees, overtime left open for every eleventh."""
     open_when = {"Age": 3, "MonthlyIncome": 5, "JobRole": 7, "OverTime": 11}
@@ -202,4 +215,4 @@ def streamed_profiles_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     overtime_runs, survey_before_run_end, overtime_follow_ups, streamed_overtime_follow_ups, triple_risk_monthly_changes,
     triple_risk_list_changes, quartiles_from_sketches, people_from_sketches, dictionary_codes, stump_profile_scores,
-    stump_profile_factors, streamed_profiles_once)}
+    stump_profile_factors, streamed_profiles_once, defaults_after_going_back)}

@@ -58,6 +58,7 @@ ORACLE: dict[str, str] = {
         FROM orders""",
     "stump_profile_scores": _SCORES,
     "streamed_profiles_once": _SCORES,
+    "defaults_after_going_back": _hr(_DEFAULT_ROWS, _MODEL),
     "stump_profile_factors": _hr(f"""SELECT profile_id, 'OverTime' AS feature, {_r('p - 0.5', 6)} AS shap,
         CASE WHEN p > 0.5 THEN 'increases' ELSE 'reduces' END AS direction FROM judged""", *_PROFILE_TABLES),
 }

@@ -24,8 +24,8 @@ def train_on_all(hr: DataFrame, path: str, seed: int = fv.SEED, folds: int = fv.
     """
     model = attrition.train_risk_model(hr, path, scope="all", seed=seed, **forest)
     auc = models.cv_auc(attrition.design_of(model), k=folds, seed=seed, **forest)
-    auc.coalesce(1).write.mode("overwrite").parquet(f"{path}/cv_auc")  # one row
-    return model, hr.sparkSession.read.parquet(f"{path}/cv_auc")
+    auc.coalesce(1).write.mode("overwrite").parquet(f"{model.path}/cv_auc")  # one row
+    return model, hr.sparkSession.read.parquet(f"{model.path}/cv_auc")
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
