@@ -27,10 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields, is_dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -425,6 +426,62 @@ def compile_template(source: str = TEMPLATE) -> Callable[[list[dict]], tuple[str
     return render
 
 
+def _names_in(tree) -> set[str]:
+    """Every name a tree reads or sets."""
+    if isinstance(tree, tuple):
+        return set().union(*map(_names_in, tree))
+    if not is_dataclass(tree):
+        return set()
+    own = {tree.name} if isinstance(tree, (Name, Assign)) else set()
+    return own.union(*(_names_in(getattr(tree, f.name)) for f in fields(tree)))
+
+
+def _loops_in(tree) -> int:
+    if isinstance(tree, tuple):
+        return sum(map(_loops_in, tree))
+    return isinstance(tree, For) + sum(_loops_in(getattr(tree, f.name)) for f in fields(tree)) if is_dataclass(tree) else 0
+
+
+class TurnWriter:
+    """Renders a conversation turn by turn, for templates that are one loop with text around it.
+
+    What a loop body sets is forgotten with the turn, so a turn depends on
+    itself and its place only.  Templates with ``messages`` in an expression or
+    with another loop need the whole conversation at once and raise.
+    """
+
+    def __init__(self, template: str = TEMPLATE):
+        nodes = fold(parse(template))
+        at = [i for i, node in enumerate(nodes) if isinstance(node, For)]
+        if len(at) != 1 or _loops_in(nodes) != 1 or "messages" in _names_in(nodes):
+            raise TemplateError("the template needs the whole conversation: use format_conversations")
+        self._before, loop, self._after = _block(nodes[:at[0]]), nodes[at[0]], _block(nodes[at[0] + 1:])
+        self._name, self._body = loop.name, _block(loop.body)
+
+    def begin(self) -> None:
+        self._scope, self._sink, self._turns, self._taken = {}, _Sink(), 0, 0
+        self._before(self._scope, self._sink)
+
+    def turn(self, message: dict, last: bool) -> None:
+        i, self._turns = self._turns, self._turns + 1
+        state = {"index0": i, "index": i + 1, "first": i == 0, "last": last}
+        self._body({**self._scope, self._name: message, "loop": state}, self._sink)
+
+    def end(self) -> None:
+        self._after(self._scope, self._sink)
+
+    @property
+    def waiting(self) -> int:
+        """Characters written since the last ``take``."""
+        return self._sink.length - self._taken
+
+    def take(self) -> tuple[int, str, list[tuple[int, int]]]:
+        """(place in the conversation, text, spans) since the last call; spans count from the conversation's start."""
+        taken = self._taken, "".join(self._sink.parts), self._sink.spans
+        self._taken, self._sink.parts, self._sink.spans = self._sink.length, [], []
+        return taken
+
+
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of every turn from the output of the default template; the exact inverse of rendering."""
     turns, at = [], 0
@@ -467,12 +524,143 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, conversatio
     return grouped.select(conversation, render("turns").alias("made")).select(conversation, "made.formatted", "made.loss_spans")
 
 
+PART_CHARS = 1 << 20  # a part of a conversation ends after the turn that brings it to this many characters
+_PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch], template: str, part_chars: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the conversations of a partition, whose rows come sorted; holds one part and one batch."""
+    writer, kind, waiting, part, out = TurnWriter(template), None, None, 0, []
+
+    def closed() -> None:
+        nonlocal part
+        start, text, spans = writer.take()
+        out.append((waiting[0], part, start, text, [{"start": a, "end": b} for a, b in spans]))
+        part += 1
+
+    def batch_of() -> pa.RecordBatch:
+        columns = [list(c) for c in zip(*out)]
+        out.clear()
+        return pa.RecordBatch.from_arrays([
+            pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
+            pa.array(columns[3], pa.string()), pa.array(columns[4], _PLACES)], ["conversation", "part", "start", "formatted", "loss_spans"])
+
+    held = 0
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if waiting is None:
+                writer.begin()
+            else:
+                ends = waiting[0] != row[0]  # one row ahead, so that a turn knows whether it is the last
+                writer.turn({"role": waiting[2], "text": waiting[3], "turn": waiting[1]}, ends)
+                if ends:
+                    writer.end()
+                if ends or writer.waiting >= part_chars:
+                    held += writer.waiting
+                    closed()
+                if ends:
+                    writer.begin()
+                    part = 0
+                if held >= part_chars or len(out) >= 4096:
+                    yield batch_of()
+                    held = 0
+            waiting = row
+    if waiting is not None:
+        writer.turn({"role": waiting[2], "text": waiting[3], "turn": waiting[1]}, True)
+        writer.end()
+        closed()
+        yield batch_of()
+
+
+def format_turns(turns: DataFrame, template: str = TEMPLATE, conversation: str = "conv_id", turn: str = "turn",
+                 role: str = "role", text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """(conversation, part, start, formatted, loss_spans): conversations of any length, formatted as their turns stream by.
+
+    The parts 0, 1, ... of a conversation, joined, are its formatted text; one
+    ends after the turn that brings it to ``part_chars`` characters and ``start``
+    is its place.  Spans are code points of the conversation, end exclusive.
+    All parts of a conversation stand in one partition, in order.  Rows are
+    shuffled by conversation and sorted, which spills to disk; a task then holds
+    one part, so a conversation with a third of all rows costs time in its task
+    and no memory.  Nulls, ties, repeated rows and rows without a conversation
+    are as in ``format_conversations``; templates are those of ``TurnWriter``.
+    """
+    TurnWriter(template)  # an error in the template shows here, not in a task
+    rows = turns.select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.coalesce(role, F.lit("")).alias("r"),
+                        F.coalesce(text, F.lit("")).alias("x")).repartition("c").sortWithinPartitions("c", "t", "r", "x")
+    places = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    made = T.StructType([T.StructField("conversation", turns.schema[conversation].dataType), T.StructField("part", T.LongType()),
+                         T.StructField("start", T.LongType()), T.StructField("formatted", T.StringType()), T.StructField("loss_spans", places)])
+    return rows.mapInArrow(lambda batches: _in_parts(batches, template, part_chars), made).withColumnRenamed("conversation", conversation)
+
+
+class _Digest:
+    """Running digests of one conversation."""
+
+    def __init__(self):
+        self.turns = self.loss = self.length = self.parts = 0
+        self.spoken, self.trained = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, start: int, text: str, spans: list[dict]) -> None:
+        for role, said in read_back(text):
+            self.turns += 1
+            self.spoken.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        for span in spans:
+            said = unescape(text[span["start"] - start:span["end"] - start])
+            self.loss += len(said)
+            self.trained.update(said.encode("utf-8", "surrogatepass"))
+        self.length, self.parts = self.length + len(text), self.parts + 1
+
+    def row(self) -> tuple:
+        return self.turns, self.spoken.hexdigest(), self.loss, self.trained.hexdigest(), self.length
+
+
+def _digested(batches: Iterator[pa.RecordBatch], names: tuple) -> Iterator[pa.RecordBatch]:
+    kind, current, digest, out = None, None, None, []
+
+    def batch_of() -> pa.RecordBatch:
+        columns = [list(c) for c in zip(*out)]
+        out.clear()
+        kinds = [kind, *(pa.int64() if t == T.LongType() else pa.string() for _, t in names)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["conversation", *(n for n, _ in names)])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for i in range(batch.num_rows):
+            conversation, part, start, text, spans = (batch.column(c)[i].as_py() for c in range(5))
+            if part == 0:
+                if digest is not None:
+                    out.append((current, *digest.row()))
+                current, digest = conversation, _Digest()
+            if digest is None or conversation != current or part != digest.parts:
+                raise ValueError("the parts of a conversation must stand in one partition, in order")
+            digest.add(start, text, spans)
+            if len(out) >= 4096:
+                yield batch_of()
+    if digest is not None:
+        out.append((current, *digest.row()))
+        yield batch_of()
+
+
+def digest_parts(parts: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """The digests of ``conversation_digests`` from the parts of ``format_turns``, in the order it leaves them.
+
+    One pass without a shuffle; parts that were moved since raise.  Reads the
+    output of the default template.
+    """
+    made = T.StructType([T.StructField("conversation", parts.schema[conversation].dataType), *[T.StructField(n, t) for n, t in _DIGESTS]])
+    ordered = parts.select(conversation, "part", "start", "formatted", "loss_spans")
+    return ordered.mapInArrow(lambda batches: _digested(batches, _DIGESTS), made).withColumnRenamed("conversation", conversation)
+
+
+_DIGESTS = (("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()),
+            ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()))
+
+
 def conversation_digests(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """(conversation, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the output."""
-    names = (("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()),
-             ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()))
-
-    @F.pandas_udf(T.StructType([T.StructField(n, t) for n, t in names]))
+    @F.pandas_udf(T.StructType([T.StructField(n, t) for n, t in _DIGESTS]))
     def digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
         for value, marked in zip(texts, spans):
@@ -480,7 +668,7 @@ def conversation_digests(formatted: DataFrame, conversation: str = "conv_id") ->
             trained = "".join(unescape(value[s["start"]:s["end"]]) for s in marked)
             spoken = "".join(f"{role}\n{text}\n" for role, text in turns)
             rows.append((len(turns), _sha(spoken), len(trained), _sha(trained), len(value)))
-        return pd.DataFrame(rows, columns=[n for n, _ in names])
+        return pd.DataFrame(rows, columns=[n for n, _ in _DIGESTS])
 
     return formatted.select(conversation, digest("formatted", "loss_spans").alias("d")).select(conversation, "d.*")
 
