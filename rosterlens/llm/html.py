@@ -4,8 +4,14 @@ A page becomes a tree of elements.  Every subtree outside the article is
 hashed (tags, class names, texts); Spark counts on how many pages of a host
 each hash occurs, and subtrees that recur on many pages of their host are
 deleted.  What is furniture by its own markup (menus, forms, scripts, ...)
-goes on every page.  Inside an ``article`` or ``main`` element only the markup
-decides, so a text that a site prints on several pages stays whole.
+goes on every page.
+
+Inside an ``article`` or ``main`` element the boxes (``BOXES``) that hold less
+than half of its text are counted too, but by the articles around them: an
+article is known by the longest text outside the box.  So a box with an opaque
+class goes when it stands in many different articles, while an article that a
+site prints on several pages stays whole, and so do paragraphs, headings and
+quotations, which are what an article says.
 
 A page gets only those of its own hashes that are templates, so its list is
 no longer than the page, however many templates its host has.
@@ -41,6 +47,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES_P = BLOCKS - frozenset("option legend summary caption td th tr tbody thead tfoot".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"),
             "td": ("tr",), "th": ("tr",), "option": ("select",)}
+BOXES = frozenset("div section ul ol dl table details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs "
@@ -196,16 +203,61 @@ def _outside(root: Element, article: Element) -> list[Element]:
     return found
 
 
-def template_candidates(source: str | None) -> list[int]:
-    """Distinct subtree hashes of a page that are looked up in its host's counts."""
+def _inside(article: Element) -> list[tuple[Element, int]]:
+    """Boxes of an ``article`` or ``main`` that may be templates, each with a hash of the longest text around it.
+
+    Parts of furniture are none, as they go anyway, and neither is a box with half of the article's text or more,
+    or one with no text around it.
+    """
+    if article.tag in ("body", "#root"):
+        return []
+    pieces: list[str] = []
+    spans: list[tuple[Element, int, int]] = []  # box, its first piece, the piece after its last
+    stack: list = [article]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            if text := _SPACE.sub(" ", item).strip():
+                pieces.append(text)
+        elif isinstance(item, tuple):
+            spans.append((*item, len(pieces)))
+        elif item is article or not _furniture(item):
+            if item is not article and item.tag in BOXES:
+                stack.append((item, len(pieces)))  # comes up again after the children
+            stack += reversed(item.children)
+    if not spans:
+        return []
+    upto = [0]
+    before: list[str] = [""]  # longest piece before each place, and from each place on
+    for text in pieces:
+        upto.append(upto[-1] + len(text))
+        before.append(max(before[-1], text, key=len))
+    after = [""]
+    for text in reversed(pieces):
+        after.append(max(after[-1], text, key=len))
+    after.reverse()
+    found = []
+    for e, first, end in spans:
+        around = max(before[first], after[end], key=len)
+        if around and 2 * (upto[end] - upto[first]) < upto[-1]:
+            found.append((e, xxhash.xxh64_intdigest(around) - 2**63))
+    return found
+
+
+def template_candidates(source: str | None, page: int = 0) -> list[tuple[int, int]]:
+    """Distinct (subtree hash, what it is counted by) of a page, to be looked up in its host's counts.
+
+    Outside the article a subtree is counted by ``page``, inside by the article around it.
+    """
     if not source:
         return []
     root = parse(source)
-    outside = _outside(root, main_element(root))
-    if not outside:
+    article = main_element(root)
+    candidates = [(e, page) for e in _outside(root, article)] + _inside(article)
+    if not candidates:
         return []
     hashes = subtree_hashes(root)
-    return sorted({hashes[id(e)] for e in outside})
+    return sorted({(hashes[id(e)], around) for e, around in candidates})
 
 
 def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> str:
@@ -215,7 +267,8 @@ def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> st
     root = parse(source)
     article = main_element(root)
     hashes = subtree_hashes(root) if templates else {}
-    dropped = {id(e) for e in _outside(root, article) if hashes[id(e)] in templates} if templates else set()
+    candidates = _outside(root, article) + [e for e, _ in _inside(article)] if templates else []
+    dropped = {id(e) for e in candidates if hashes[id(e)] in templates}
     blocks: list[str] = []
     pieces: list[str] = []
 
@@ -251,15 +304,15 @@ def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> st
 
 
 def page_hashes(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, hash, page): the template candidates of every page, and ``WHOLE`` for the page itself."""
+    """(host, hash, page, around): the template candidates of every page with what they are counted by, and ``WHOLE`` for the page itself."""
     schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()),
-                           T.StructField("page", T.LongType())])
+                           T.StructField("page", T.LongType()), T.StructField("around", T.LongType())])
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(host, h, page) for host, source, page in zip(batch["host"], batch["html"], batch["page"])
-                    for h in (WHOLE, *template_candidates(source))]
-            yield pd.DataFrame(rows, columns=["host", "hash", "page"])
+            rows = [(host, h, page, around) for host, source, page in zip(batch["host"], batch["html"], batch["page"])
+                    for h, around in ((WHOLE, page), *template_candidates(source, page))]
+            yield pd.DataFrame(rows, columns=["host", "hash", "page", "around"])
 
     return pages.select(_host(url).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("page")).mapInPandas(hashed, schema)
 
@@ -268,10 +321,10 @@ def site_templates(hashes: DataFrame, share: float = SHARE, least_pages: int = L
                    many_pages: int = MANY_PAGES) -> DataFrame:
     """(host, hash) of the subtrees that recur on many pages of the host, from the hashes of its pages.
 
-    Equal pages of a host count once.  A page whose url has no host belongs to
+    Equal pages of a host count once, and so do equal articles around a box.  A page whose url has no host belongs to
     the host ''.
     """
-    counts = hashes.groupBy("host", "hash").agg(F.countDistinct("page").alias("n"))
+    counts = hashes.groupBy("host", "hash").agg(F.countDistinct("around").alias("n"))
     totals = counts.where(F.col("hash") == WHOLE).select("host", F.col("n").alias("pages"))
     return counts.where((F.col("hash") != WHOLE) & (F.col("n") >= least_pages)).join(totals, "host") \
         .where((F.col("n") >= many_pages) | (F.col("n") >= share * F.col("pages"))).select("host", "hash")
