@@ -12,13 +12,13 @@ from rosterlens.sources.hr_fixture import FIXED_SCORE_SQL, HR_RAW_SQL
 
 _HR = f"hr AS ({HR_RAW_SQL})"
 
-_AGE = """CASE WHEN Age < 25 THEN 'Under 25' WHEN Age >= 25 AND Age <= 34 THEN '25-34'
- WHEN Age >= 35 AND Age <= 44 THEN '35-44' WHEN Age >= 45 AND Age <= 54 THEN '45-54' ELSE '55+' END"""
+_AGE = """CASE WHEN Age < 25 THEN 'Under 25' WHEN Age BETWEEN 25 AND 34 THEN '25-34'
+ WHEN Age BETWEEN 35 AND 44 THEN '35-44' WHEN Age BETWEEN 45 AND 54 THEN '45-54' ELSE '55+' END"""
 _TENURE = """CASE WHEN YearsAtCompany = 0 THEN '< 1 year' WHEN YearsAtCompany BETWEEN 1 AND 2 THEN '1-2 years'
- WHEN YearsAtCompany BETWEEN 3 AND 5 THEN '3-5 years' WHEN YearsAtCompany >= 6 AND YearsAtCompany <= 10 THEN '6-10 years'
+ WHEN YearsAtCompany BETWEEN 3 AND 5 THEN '3-5 years' WHEN YearsAtCompany BETWEEN 6 AND 10 THEN '6-10 years'
  ELSE '10+ years' END"""
 _INCOME = """CASE WHEN MonthlyIncome < 3000 THEN 'Low (< $3K)'
- WHEN MonthlyIncome >= 3000 AND MonthlyIncome <= 7000 THEN 'Mid ($3K-$7K)' ELSE 'High (> $7K)' END"""
+ WHEN MonthlyIncome BETWEEN 3000 AND 7000 THEN 'Mid ($3K-$7K)' ELSE 'High (> $7K)' END"""
 _SATISFACTION = "CASE WHEN JobSatisfaction IN (1, 2) THEN 'Low Satisfaction' ELSE 'High Satisfaction' END"
 _PROMOTION = """CASE WHEN YearsSinceLastPromotion = 0 THEN 'Recently Promoted'
  WHEN YearsSinceLastPromotion BETWEEN 1 AND 2 THEN '1-2 years ago'
