@@ -2,8 +2,10 @@
 
 Round one packs the pieces of each partition best-fit into bins and emits the
 nearly full ones.  Bins that stay underfull become items of the next round,
-on fewer partitions, and so on up a tree until one partition is left or a round
-no longer saves bins.  A task holds at most about ``ITEMS`` items at any size
+on fewer partitions, and so on up a tree until one partition is left.  A round
+that saves next to nothing ends the wait for all but the emptier half, and for
+bins that even the emptiest does not fit into: two bins that fit together hold
+one that is at most half full, and of these a task leaves one at most.  A task holds at most about ``ITEMS`` items at any size
 of the input; a bin carries its members, at most ``CAPACITY`` of them, so no
 join puts the result together.
 """
@@ -28,7 +30,7 @@ CAPACITY = 2048
 END_ID = 0  # closes every document
 ITEMS = 25_000  # items in one task
 NEARLY_FULL = 0.99  # share of the capacity at which a bin is emitted
-LEAST_SAVING = 0.005  # a round that saves a smaller share of the bins is the last
+LEAST_SAVING = 0.005  # after a round that saves a smaller share of the bins only the emptier half goes on
 LONG_RUN = re.compile(r"\s{20000}")  # beyond some hundred thousand the fast encoder's pattern gives up
 TOKENIZER = "byte_bpe_50k"  # <name>.json and the same vocabulary as ranks, <name>.tiktoken
 
@@ -152,9 +154,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, items_per_task: int = ITEMS
         bins = stored(waiting.repartition(tasks).mapInArrow(packed, items.schema), "bins")
         made = bins.count()
         full = F.col("fill") >= NEARLY_FULL * capacity
-        if tasks == 1 or count - made < LEAST_SAVING * count:
+        if tasks == 1:
             done.append(bins)
             break
+        if count - made < LEAST_SAVING * count:
+            emptiest, middle = bins.where(~full).agg(F.min("fill"), F.percentile_approx("fill", 0.5, 10_000)).first()
+            if middle is not None:
+                full |= (F.col("fill") >= middle) | (F.col("fill") > capacity - emptiest)
         done.append(bins.where(full))
         waiting = bins.where(~full)
         count = waiting.count()

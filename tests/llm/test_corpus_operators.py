@@ -509,3 +509,17 @@ def test_the_mix_tells_texts_of_one_id_and_size_apart(spark):
         words[r["source"]] += len(r["text"].split())
     assert words == {t["source"]: round(t["target"]) for t in mixing.source_targets(
         mixing.sized_rows(docs, "doc_id", "text", "source")).collect()}
+
+
+def test_packing_in_many_small_tasks_goes_on_to_one(spark):
+    """Full pieces aside, no two bins fit together at the end, and hardly more bins are made than the tokens need."""
+    rng = np.random.default_rng(14)
+    fills = np.concatenate([rng.integers(1, 2048, 3000), np.full(2000, 700), rng.integers(1, 60, 1500)]).tolist()
+    member = "array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long, offset: long>>"
+    items = spark.createDataFrame([(f, [(i, 0, 0, f, 0, 0)]) for i, f in enumerate(fills)], f"fill long, members {member}").repartition(8)
+    bins = packing.pack(items, items_per_task=100).collect()
+    assert sorted(m["doc_id"] for b in bins for m in b["members"]) == list(range(len(fills)))
+    for b in bins:
+        assert b["fill"] <= 2048 and np.cumsum([0] + [m["length"] for m in b["members"]])[:-1].tolist() == [m["offset"] for m in b["members"]]
+    rounds = len(packing.best_fit(np.array(fills)))
+    assert len(bins) <= 1.02 * rounds, (len(bins), rounds, sum(fills) / 2048)
