@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rosterlens.operators import explain
+from rosterlens.operators import explain, scoring
+
 
 
 def _plan(df) -> str:
@@ -21,3 +22,10 @@ def test_the_waterfall_sorts_a_row_once(spark, tmp_path):
     found = [tuple(r) for r in steps.where("id = 1").orderBy("step").collect()]
     assert found == [(1, 1, "2 other features", None, 0.375, 0.5, 0.875), (1, 2, "b", 2.0, -0.5, 0.875, 0.375)]
     assert [r["label"] for r in steps.where("id = 2").orderBy("step").collect()] == ["2 other features", "c"]
+
+
+def test_profiles_of_one_file_are_spread_over_tasks(spark):
+    one_file = spark.range(200).withColumnRenamed("id", scoring.PROFILE_ID).coalesce(1)
+    assert scoring.spread(one_file).rdd.getNumPartitions() == scoring.FEWEST_TASKS
+    assert scoring.spread(one_file, task_rows=4).rdd.getNumPartitions() == 50
+    assert scoring.spread(one_file).exceptAll(one_file).isEmpty()
