@@ -19,7 +19,7 @@ from rosterlens.sources.artifacts import RiskModel, load_artifacts, new_version,
 from rosterlens.sources.hr_fixture import hr_raw
 from rosterlens.streaming import overtime as overtime_stream
 from rosterlens.streaming import repeats
-from rosterlens.streaming.scoring import start_scoring
+from rosterlens.streaming.scoring import start_scoring, write_profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 LIMIT = 20.0  # booked above this, a day counts as overtime
@@ -202,13 +202,13 @@ def streamed_profiles_once(spark: SparkSession, sf_dir: str) -> DataFrame:
         repeats.ARRIVED, F.timestamp_seconds(F.lit(1_700_000_000) + F.col(scoring.PROFILE_ID) % 86_400))
 
     def arrive(rows: DataFrame) -> None:
-        rows.write.mode("append").json(incoming)
-        stream = repeats.first_arrivals(repeats.timed_profile_stream(spark, incoming, files_per_trigger=4))
+        files = write_profiles(rows, incoming)
+        stream = repeats.first_arrivals(repeats.timed_profile_stream(spark, incoming, files_per_trigger=files))
         start_scoring(model, stream, target, f"once_{uuid.uuid4().hex}", marks).awaitTermination()
 
     half = F.col(scoring.PROFILE_ID) % 2 == 0
-    arrive(profiles.where(half).unionByName(profiles.where(half)).repartition(4))
-    arrive(profiles.repartition(4))  # the first half once more, after a restart
+    arrive(profiles.where(half).unionByName(profiles.where(half)))
+    arrive(profiles)  # the first half once more, after a restart
     return _shown(spark.read.parquet(target))
 
 

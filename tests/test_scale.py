@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rosterlens.operators import explain, scoring
+from rosterlens.streaming.scoring import profile_stream, write_profiles
 
 
 
@@ -29,3 +32,14 @@ def test_profiles_of_one_file_are_spread_over_tasks(spark):
     assert scoring.spread(one_file).rdd.getNumPartitions() == scoring.FEWEST_TASKS
     assert scoring.spread(one_file, task_rows=4).rdd.getNumPartitions() == 50
     assert scoring.spread(one_file).exceptAll(one_file).isEmpty()
+
+
+def test_files_for_a_stream_grow_in_number_not_in_size(spark, tmp_path):
+    profiles = spark.range(100).select(F.col("id").alias(scoring.PROFILE_ID), F.lit(30.0).alias("Age"))
+    folder = str(tmp_path / "in")
+    assert write_profiles(profiles, folder, file_rows=10) == 10
+    assert write_profiles(profiles, folder) == 4
+    files = sorted(p.name for p in (tmp_path / "in").glob("part-*"))
+    assert len(files) == 14 and all(name.endswith(".gz") for name in files)
+    assert spark.read.json(folder).groupBy(scoring.PROFILE_ID).count().where("count = 2").count() == 100
+    assert profile_stream(spark, folder).isStreaming
