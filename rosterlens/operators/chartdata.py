@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions import fixed_values as fv
 from rosterlens.operators import explain
 
+HASH_DIGITS = 15  # hex digits of a hash that fit a positive bigint
 SPAN = ("_x_lo", "_x_hi", "_y_lo", "_y_hi")
 
 
@@ -59,21 +60,39 @@ def density(cells: DataFrame, group: Sequence[str] = (), averages: Sequence[str]
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"avg_{c}") for c in averages])
 
 
-def sample(cells: DataFrame, id_column: str, group: Sequence[str] = (), per_cell: int = 3, seed: int = fv.SEED) -> DataFrame:
+def hash_start(id_column: str, seed: int) -> Column:
+    """The first digits of the MD5 of id and seed as a number, in the order of the hash."""
+    hashed = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")))
+    return F.conv(F.substring(hashed, 1, HASH_DIGITS), 16, 10).cast("bigint")
+
+
+def sample(cells: DataFrame, id_column: str, group: Sequence[str] = (), per_cell: int = 3, seed: int = fv.SEED,
+           few_groups: bool = False) -> DataFrame:
     """At most ``per_cell`` rows of every cell, with ``n`` rows in the cell and ``weight`` = n / rows kept of it.
 
     The rows with the smallest MD5 of id and seed, ties by id; the choice
-    repeats on any cluster and does not depend on other cells.  Every partition
-    keeps its own smallest rows before the shuffle, so a cell with a third of
-    all rows sends no more than any other.  Rows without a bin form cells of
-    their own.  Rows that agree in id are told apart by nothing: any may stay.
+    repeats on any cluster and does not depend on other cells.  One combined
+    aggregate finds the smallest hash of each of a cell's slots.  Rows in
+    different slots differ, so ``per_cell`` of these bound the hashes to keep, and
+    only the few rows up to the bound are shuffled and ranked, also in a cell
+    with a third of all rows.  A cell with fewer slots in use ranks all its
+    rows.  ``few_groups`` sends the table of cells to every task; without it
+    groups may be many.  ``cells`` may bring ``hash_start`` as ``_start``.  Rows
+    without a bin form cells of their own.  Rows that agree in id are told apart
+    by nothing: any may stay.
     """
     keys = [*group, "x_bin", "y_bin"]
-    order = Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}"))), id_column)
-    kept = cells.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_cell).drop("_place")
-    counts = density(cells, group).withColumnsRenamed({c: f"_in_{c}" for c in keys})
-    joined = kept.join(counts, [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in keys]).drop(*[f"_in_{c}" for c in keys])
-    return joined.withColumn("weight", F.col("n") / F.least(F.col("n"), F.lit(per_cell)))
+    hashed = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")))
+    points = cells if "_start" in cells.columns else cells.withColumn("_start", hash_start(id_column, seed))
+    least = points.groupBy(*keys, F.pmod("_start", F.lit(max(16, 4 * per_cell))).alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_start").alias("_least"))
+    bound = F.get(F.sort_array(F.collect_list("_least")), F.lit(per_cell - 1))  # of one value per slot; null with fewer
+    found = least.groupBy(*keys).agg(F.sum("_rows").alias("n"), bound.alias("_bound")).withColumnsRenamed({c: f"_in_{c}" for c in keys})
+    near = points.join(F.broadcast(found) if few_groups or not group else found, [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in keys]).where(
+        F.col("_start").isNull() | F.col("_bound").isNull() | (F.col("_start") <= F.col("_bound"))).drop(*[f"_in_{c}" for c in keys])
+    order = Window.partitionBy(*keys).orderBy(hashed, id_column)
+    kept = near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_cell).drop("_place", "_start", "_bound")
+    return kept.withColumn("weight", F.col("n") / F.least(F.col("n"), F.lit(per_cell)))
 
 
 # --- explanations -----------------------------------------------------------------------
@@ -98,8 +117,9 @@ def shap_density(explained: DataFrame, k: int = 15, features: Sequence[str] = fv
 def shap_sample(explained: DataFrame, id_column: str = fv.ID, k: int = 15, features: Sequence[str] = fv.FEATURES,
                 bins: int = 20, per_cell: int = 3, seed: int = fv.SEED) -> DataFrame:
     """(id, feature, value, shap, value_bin, shap_bin, n, weight): points that stand for the summary chart."""
-    cells = _strongest(explained.select(id_column, "contributions"), k, features, bins)
-    return sample(cells, id_column, ["feature"], per_cell, seed).withColumnsRenamed({"x_bin": "value_bin", "y_bin": "shap_bin"})
+    hashed = explained.select(id_column, "contributions", hash_start(id_column, seed).alias("_start"))  # once per id, not per point
+    cells = _strongest(hashed, k, features, bins)
+    return sample(cells, id_column, ["feature"], per_cell, seed, few_groups=True).withColumnsRenamed({"x_bin": "value_bin", "y_bin": "shap_bin"})
 
 
 def dependence_density(explained: DataFrame, feature: str = "OverTime", by: str = "JobSatisfaction",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from rosterlens.operators import explain, scoring
+from rosterlens.operators import chartdata, explain, scoring
 from rosterlens.streaming.scoring import profile_stream, write_profiles
 
 
@@ -27,6 +29,25 @@ def test_the_waterfall_sorts_a_row_once(spark, tmp_path):
     assert [r["label"] for r in steps.where("id = 2").orderBy("step").collect()] == ["2 other features", "c"]
 
 
+def test_only_rows_up_to_a_bound_are_ranked_for_a_sample(spark):
+    rows = [(i % 900 if i % 7 else None, "f", 1 if i % 3 else 2, 1) for i in range(2000)] + [(5, "g", None, 1)] * 4
+    cells = spark.createDataFrame(rows, "id long, feature string, x_bin int, y_bin int")
+    sampled = chartdata.sample(cells, "id", ["feature"], per_cell=3, seed=7, few_groups=True)
+    assert "_bound" in _plan(sampled).partition("Window ")[2]
+    wanted = []
+    for cell in {r[1:] for r in rows}:
+        ids = [r[0] for r in rows if r[1:] == cell]
+        ids.sort(key=lambda i: ("", 0) if i is None else (hashlib.md5(f"{i}:7".encode()).hexdigest(), i))
+        wanted += [(i, *cell, len(ids), len(ids) / min(len(ids), 3)) for i in ids[:3]]
+    assert sorted(map(tuple, sampled.collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_a_sample_without_few_groups_is_the_same(spark):
+    cells = spark.range(3000).select("id", (F.col("id") % 5).alias("feature"), F.lit(1).alias("x_bin"), (F.col("id") % 2).alias("y_bin"))
+    one, other = (chartdata.sample(cells, "id", ["feature"], few_groups=few) for few in (True, False))
+    assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty() and one.count() == 30
+
+
 def test_profiles_of_one_file_are_spread_over_tasks(spark):
     one_file = spark.range(200).withColumnRenamed("id", scoring.PROFILE_ID).coalesce(1)
     assert scoring.spread(one_file).rdd.getNumPartitions() == scoring.FEWEST_TASKS
