@@ -6,11 +6,10 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from rosterlens.operators import chartdata, explain, scoring
+from rosterlens.operators import chartdata, explain, models, scoring
 from rosterlens.streaming.scoring import profile_stream, write_profiles
 
 
-
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -64,3 +63,9 @@ def test_files_for_a_stream_grow_in_number_not_in_size(spark, tmp_path):
     assert len(files) == 14 and all(name.endswith(".gz") for name in files)
     assert spark.read.json(folder).groupBy(scoring.PROFILE_ID).count().where("count = 2").count() == 100
     assert profile_stream(spark, folder).isStreaming
+
+
+def test_fit_partitions_follow_a_large_table(spark):
+    assert models.partitions_for(spark.range(1000)) == models.FIT_PARTITIONS
+    assert models.partitions_for(spark.range(54_000_000)) == 180
+    assert models.partitions_for(spark.range(1001), fit_rows=10) == 101
