@@ -74,10 +74,11 @@ def streamed_overtime_follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming, target, marks = (f"{_folder(spark, 'follow-ups')}/{part}" for part in ("in", "out", "checkpoint"))
     signals, delay = _signals(spark, sf_dir), 40
     signals.repartition(6, F.xxhash64("ts")).write.parquet(incoming)
+    groups = overtime_stream.groups_for(signals)
 
     def work_off(files: int) -> None:
         stream = overtime_stream.signal_stream(spark, incoming, files_per_trigger=files)
-        found = overtime_stream.streamed_follow_ups(stream, LIMIT, f"{delay} days", period="day")
+        found = overtime_stream.streamed_follow_ups(stream, LIMIT, f"{delay} days", period="day", groups=groups)
         overtime_stream.start_follow_ups(found, target, f"follow_ups_{uuid.uuid4().hex}", marks).awaitTermination()
 
     work_off(2)

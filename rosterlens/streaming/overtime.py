@@ -5,6 +5,10 @@ and the last survey, and of the past only the run that may still go on and the
 last survey.  When the watermark has passed a period's end the period is closed,
 in order of time; a closed period without overtime ends the run, which is then
 reported if it was long enough and the last survey before its end was low.
+
+A call of the Python function costs milliseconds, whatever it is given, so
+persons share calls: a group of about a hundred persons is one key, whose state
+holds the states of its persons.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ FOLLOW_UP_SCHEMA = ("person BIGINT, first BIGINT, last BIGINT, n BIGINT, run_end
                     "score INT, due TIMESTAMP")
 STATE_SCHEMA = "state STRING"
 DAY_SECONDS = 86_400
+GROUPS, GROUP_PERSONS = 1024, 100  # groups of persons that share a key, where nothing is known; persons to aim at in one
 
 
 def signal_stream(spark: SparkSession, folder: str, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
@@ -35,6 +40,11 @@ def signal_stream(spark: SparkSession, folder: str, fmt: str = "parquet", files_
             .option("maxFilesPerTrigger", files_per_trigger).load(folder))
 
 
+def groups_for(signals: DataFrame, persons: int = GROUP_PERSONS) -> int:
+    """Groups of about ``persons`` persons each, for a table like the one that will be streamed; one aggregate."""
+    return max(1, -(-signals.agg(F.approx_count_distinct("person")).first()[0] // persons))
+
+
 class PersonState:
     """What is kept of one person between batches; all of it fits one short text.
 
@@ -45,12 +55,30 @@ class PersonState:
     """
 
     def __init__(self, text: str | None = None):
-        kept = json.loads(text) if text else {"open": {}, "run": None, "survey": None, "closed": None}
+        self._take(json.loads(text) if text else {"open": {}, "run": None, "survey": None, "closed": None})
+
+    def _take(self, kept: dict) -> None:
         self.open = {int(p): v for p, v in kept["open"].items()}
         self.run, self.survey, self.closed = kept["run"], kept["survey"], kept["closed"]
 
+    def _kept(self) -> dict:
+        return {"open": self.open, "run": self.run, "survey": self.survey, "closed": self.closed}
+
     def text(self) -> str:
-        return json.dumps({"open": self.open, "run": self.run, "survey": self.survey, "closed": self.closed})
+        return json.dumps(self._kept())
+
+    @staticmethod
+    def of_group(text: str) -> dict[int, PersonState]:
+        """The persons of a group by number."""
+        people = {}
+        for person, kept in json.loads(text).items():
+            people[int(person)] = state = PersonState()
+            state._take(kept)
+        return people
+
+    @staticmethod
+    def group_text(people: dict[int, PersonState]) -> str:
+        return json.dumps({person: state._kept() for person, state in people.items()})
 
     def add(self, period: int, cents: int, survey: list | None) -> None:
         """Count what arrived for a period; a closed period changes no more."""
@@ -87,7 +115,7 @@ def _moment(seconds: float) -> datetime:
 
 
 def streamed_follow_ups(signals: DataFrame, limit: float, delay: str, period: str = "week", least: int = LEAST_RUN,
-                        low: int = LOW_SCORE, due_days: int = DUE_DAYS) -> DataFrame:
+                        low: int = LOW_SCORE, due_days: int = DUE_DAYS, groups: int = GROUPS) -> DataFrame:
     """Follow-ups as their runs come to an end; ``signals`` is a stream of ``SIGNAL_SCHEMA``.
 
     A signal may arrive up to ``delay`` late, in any order and batch, and the
@@ -95,7 +123,8 @@ def streamed_follow_ups(signals: DataFrame, limit: float, delay: str, period: st
     ones are ignored.  A run is reported once, when the watermark has passed the
     end of the period behind it.  Signals without a person or time do not count.
     State per person is bounded by the periods within the delay: it does not
-    grow with the history.
+    grow with the history.  ``groups`` does not change the result, only how many
+    persons share a key (``groups_for``); it stays the same as long as the checkpoint does.
     """
     days, limit_cents, monday = DAYS[period], round(limit * 100), 0 if period == "day" else MONDAY
 
@@ -103,22 +132,24 @@ def streamed_follow_ups(signals: DataFrame, limit: float, delay: str, period: st
         return ((number + 1) * days - monday) * DAY_SECONDS
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        person, found = PersonState(state.get[0] if state.exists else None), []
+        people, found = PersonState.of_group(state.get[0] if state.exists else "{}"), []
         for batch in batches:
-            for number, cents, micros, survey_id, score in zip(
-                    *(batch[c].tolist() for c in ("period", "cents", "micros", "survey_id", "score"))):
+            for who, number, cents, micros, survey_id, score in zip(
+                    *(batch[c].tolist() for c in ("person", "period", "cents", "micros", "survey_id", "score"))):
+                person = people.get(who) or people.setdefault(who, PersonState())
                 survey = None if pd.isna(survey_id) else [int(micros), int(survey_id), None if pd.isna(score) else int(score)]
                 person.add(int(number), 0 if pd.isna(cents) else int(cents), survey)
         watermark = state.getCurrentWatermarkMs() // 1000
         if watermark > 0:
             reached = (watermark // DAY_SECONDS + monday) // days - 1  # the last period whose end the watermark has passed
-            for first, last, survey in person.close(reached, limit_cents):
-                if last - first + 1 >= least and survey and survey[2] is not None and survey[2] < low:
-                    end = _moment(end_seconds(last))
-                    found.append((key[0], first, last, last - first + 1, end, survey[1], _moment(0) + timedelta(microseconds=survey[0]),
-                                  survey[2], end + timedelta(days=due_days)))
-        state.update((person.text(),))
-        waiting = person.next_period()
+            for who, person in people.items():
+                for first, last, survey in person.close(reached, limit_cents):
+                    if last - first + 1 >= least and survey and survey[2] is not None and survey[2] < low:
+                        end = _moment(end_seconds(last))
+                        found.append((who, first, last, last - first + 1, end, survey[1], _moment(0) + timedelta(microseconds=survey[0]),
+                                      survey[2], end + timedelta(days=due_days)))
+        state.update((PersonState.group_text(people),))
+        waiting = min((p for p in (person.next_period() for person in people.values()) if p is not None), default=None)
         if waiting is not None:
             state.setTimeoutTimestamp(max(end_seconds(waiting), watermark + 1) * 1000)
         if found:
@@ -126,9 +157,9 @@ def streamed_follow_ups(signals: DataFrame, limit: float, delay: str, period: st
 
     number = F.floor((F.floor(F.unix_micros("ts") / (DAY_SECONDS * 1_000_000)) + monday) / days)
     prepared = signals.where(F.col("person").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", delay).select(
-        "person", "ts", number.alias("period"), (F.col("hours").cast("decimal(18,2)") * 100).cast("long").alias("cents"),
-        F.unix_micros("ts").alias("micros"), "survey_id", "score")
-    return prepared.groupBy("person").applyInPandasWithState(
+        F.pmod(F.xxhash64("person"), F.lit(groups)).alias("group"), "person", "ts", number.alias("period"),
+        (F.col("hours").cast("decimal(18,2)") * 100).cast("long").alias("cents"), F.unix_micros("ts").alias("micros"), "survey_id", "score")
+    return prepared.groupBy("group").applyInPandasWithState(
         step, FOLLOW_UP_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -147,6 +147,28 @@ def test_signals_behind_the_watermark_are_ignored(spark, tmp_path):
     assert got == batch_answer(spark, run, 12) and len(got) == 1
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_persons_share_the_calls_and_the_state_of_a_group(spark, tmp_path, groups):
+    rng = random.Random(5)
+    rows = signal_rows(rng, range(-3, 60), 20)
+    incoming, out, marks = (str(tmp_path / name) for name in ("in", "out", "marks"))
+    keys = []
+    for part in (rows[::2], rows[1::2], [(-9, START + timedelta(days=60), None, None, None)]):
+        spark.createDataFrame(part, overtime_stream.SIGNAL_SCHEMA).coalesce(1).write.mode("append").parquet(incoming)
+        found = overtime_stream.streamed_follow_ups(overtime_stream.signal_stream(spark, incoming), 12, "25 days", "day", groups=groups)
+        query = overtime_stream.start_follow_ups(found, out, f"shared_{groups}", marks)
+        query.awaitTermination()
+        keys += [operator["numRowsTotal"] for progress in query.recentProgress for operator in progress["stateOperators"]]
+    got = sorted(tuple(r[c] for c in ("person", "first", "last", "survey_id", "due")) for r in spark.read.parquet(out).collect())
+    assert got == batch_answer(spark, rows, 12) and len({r[0] for r in got}) > 3
+    assert max(keys) == groups  # not one for each of the 64 persons
+
+
+def test_groups_follow_the_number_of_persons(spark):
+    signals = spark.range(1000).select((F.col("id") % 250).alias("person"))
+    assert 2 <= overtime_stream.groups_for(signals) <= 4 and overtime_stream.groups_for(signals.limit(0)) == 1
+
+
 def test_state_does_not_grow_with_the_history():
     state, size = overtime_stream.PersonState(), []
     for day in range(2000):
