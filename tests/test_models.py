@@ -166,6 +166,40 @@ def test_contributions_equal_brute_force_shapley_values():
     assert np.abs(explain.shap_matrix([explain.prepared(tree)], x) - expected).max() < 1e-14
 
 
+def random_leaves(rng, depth, features, low=(), high=(), share=()):
+    """Leaves of a tree whose paths may ask a feature several times."""
+    low, high, share = dict(low), dict(high), dict(share)
+    if depth == 0 or share and rng.random() < 0.1:
+        names = sorted(share)
+        return [(rng.random(), np.array(names, dtype=np.int64), *(np.array([d.get(f, default) for f in names], dtype=float) for d, default in (
+            (low, -np.inf), (high, np.inf), (share, 1.0))))]
+    f = int(rng.integers(features))
+    t, z = rng.uniform(low.get(f, 0.0), high.get(f, 1.0)), rng.uniform(0.2, 0.8)
+    return (random_leaves(rng, depth - 1, features, low, {**high, f: t}, {**share, f: share.get(f, 1.0) * z})
+            + random_leaves(rng, depth - 1, features, {**low, f: t}, high, {**share, f: share.get(f, 1.0) * (1 - z)}))
+
+
+@pytest.mark.parametrize("depth", [0, 3, 5, 8, 12])
+def test_neighbouring_leaves_are_looked_up_together(depth):
+    rng = np.random.default_rng(depth)
+    tree, x = random_leaves(rng, depth, 6), rng.random((300, 6))
+    x[0], x[1] = np.nan, tree[0][3][0] if depth else 0.5  # a row on a threshold
+    filled = np.nan_to_num(x, nan=np.inf)
+    some = np.r_[0:12]
+    expected = np.array([brute_force(tree, row) for row in filled[some]]) if depth <= 5 else None
+    slices = explain.prepared(tree)
+    alone = explain._slices([leaf for leaf in tree if len(leaf[1])])
+    found = explain.shap_matrix([slices], x)
+    assert np.abs(found - explain.shap_matrix([alone], x)).max() < 1e-13  # as leaf by leaf
+    assert expected is None or np.abs(found[some] - expected).max() < 1e-13
+    assert depth != 8 or len(slices) < len(tree) / 3  # a third of the look-ups at most
+
+
+def test_explanations_of_one_file_are_many_tasks(model, design, tmp_path):
+    stored = attrition.store_explanations(model, design.coalesce(1), str(tmp_path / "explained"))
+    assert stored.count() == 1500 and len(list((tmp_path / "explained").glob("part-*"))) == 32
+
+
 def test_groups_of_trees_add_up(model, design):
     few = design.limit(50)
     one = {r[fv.ID]: [c["shap"] for c in r["contributions"]] for r in explain.explain_forest(few, model.forest_path).collect()}
