@@ -6,7 +6,10 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from rosterlens.operators import chartdata, explain, models, scoring
+from rosterlens.functions import fixed_values as fv
+from rosterlens.operators import chartdata, explain, models, prep, scoring
+from rosterlens.plans import attrition
+from rosterlens.sources.hr_fixture import hr_raw_sql
 from rosterlens.streaming.scoring import profile_stream, write_profiles
 
 
@@ -69,3 +72,21 @@ def test_fit_partitions_follow_a_large_table(spark):
     assert models.partitions_for(spark.range(1000)) == models.FIT_PARTITIONS
     assert models.partitions_for(spark.range(54_000_000)) == 180
     assert models.partitions_for(spark.range(1001), fit_rows=10) == 101
+
+
+def test_the_source_is_read_once_and_vectors_come_from_the_stored_rows(spark, tmp_path):
+    orders = "(SELECT id * 3 AS o_orderkey, id * 97.5D AS o_totalprice FROM range(0, 400, 1, 1))"
+    hr, reads = spark.sql(hr_raw_sql(orders)), spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        reads.add(1)
+        return row
+
+    source = spark.createDataFrame(hr.rdd.map(counted), hr.schema)
+    design, encoder = attrition.prepare(source, str(tmp_path), partitions=4)
+    assert reads.value == 400
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    assert stored.columns == prep.model_frame(hr).columns and stored.exceptAll(prep.model_frame(hr)).isEmpty()
+    wanted = {r[fv.ID]: r["features"] for r in prep.design_matrix(prep.model_frame(hr), encoder).collect()}
+    assert {r[fv.ID]: r["features"] for r in design.collect()} == wanted and len(wanted) == 400
+    assert design.columns == [*stored.columns, "features", "split"] and design.where("split = 'test'").count() == 80
