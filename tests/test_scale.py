@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from rosterlens.functions import fixed_values as fv
-from rosterlens.operators import chartdata, explain, models, prep, scoring
+from rosterlens.operators import chartdata, explain, metrics, models, prep, scoring
 from rosterlens.plans import attrition
 from rosterlens.sources.hr_fixture import hr_raw_sql
 from rosterlens.streaming.scoring import profile_stream, write_profiles
@@ -90,3 +90,13 @@ def test_the_source_is_read_once_and_vectors_come_from_the_stored_rows(spark, tm
     wanted = {r[fv.ID]: r["features"] for r in prep.design_matrix(prep.model_frame(hr), encoder).collect()}
     assert {r[fv.ID]: r["features"] for r in design.collect()} == wanted and len(wanted) == 400
     assert design.columns == [*stored.columns, "features", "split"] and design.where("split = 'test'").count() == 80
+
+
+def test_a_score_is_computed_once_for_the_curve(spark):
+    slow = F.udf(lambda x: None if x % 10 == 9 else float(x % 3), "double", useArrow=False)
+    scored = spark.range(40).select(slow("id").alias("score"), F.expr("if(id < 4, null, id % 2)").alias("label"))
+    counts = metrics.score_counts(scored, "label", "score")
+    assert _plan(counts.select("pos")).count("BatchEvalPython [") == 1
+    kept = [(float(i % 3), i % 2) for i in range(4, 40) if i % 10 != 9]
+    wanted = {(s, sum(k == (s, 1) for k in kept), sum(k == (s, 0) for k in kept)) for s, _ in kept}
+    assert {tuple(r) for r in counts.collect()} == wanted and counts.columns == ["score", "pos", "neg"]
