@@ -51,6 +51,7 @@ UNREAD = 2e-9  # pairs at the threshold that are dropped unread, because their s
 PIVOT_ROUNDS = 2  # rounds with the best linked member of a bucket as its pivot
 BLOCK, VOLUME = 4096, 1 << 22  # members of a bucket, and their shingles, that one task compares others with
 SLICE = 4096  # shingles hashed at once
+FEW_PAIRS = 20_000  # pairs that are sent to every executor when their classes are looked up
 
 
 def max_distance(percent: int = PERCENT) -> int:
@@ -166,15 +167,32 @@ def _keys_of(classes: DataFrame) -> DataFrame:
     return classes.select("class", "signature").mapInArrow(keys, _schema(("key", T.LongType()), ("class", T.LongType())))
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """(key, class, pivot) of every bucket with several classes; the pivot is the smallest class.
+
+    Spark takes the keys for a table as small as the file of the classes, though
+    there are ``CHUNKS * ROWS`` of them a class, and would send them all through
+    the driver; so the join is told to sort.
+    """
+    keys = _keys_of(classes)
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("pivot")).where("n > 1")
+    return keys.hint("merge").join(buckets.select("key", "pivot"), "key")
+
+
 def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda n, x: n + x)
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose sizes and signatures do not rule out a link."""
+    """Pairs (a, b) whose sizes and signatures do not rule out a link.
+
+    Spark counts an array as one number, so it takes the classes for a fraction
+    of their size; they are never broadcast here, a few pairs are.
+    """
     side = lambda name: classes.select(F.col("class").alias(name), F.col("n_shingles").alias(f"n_{name}"),
                                        F.col("signature").alias(f"s_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(
+    how = "broadcast" if pairs.count() <= FEW_PAIRS else "merge"
+    return pairs.hint(how).join(side("a"), "a").hint(how).join(side("b"), "b").where(
         (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         & (_distance(F.col("s_a"), F.col("s_b")) <= max_distance(percent))
     ).select("a", "b", "n_a", "n_b")
@@ -339,7 +357,8 @@ def _cross_links(split: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     everywhere = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: place(b, b == own, true))
     places = F.when(outside, everywhere).otherwise(F.array(place(own, true, false))) if exact else F.array(place(own, true, outside))
-    rows = split.select("key", "class", "component", F.explode(places).alias("at")).join(test, "class").select(
+    # Joined before they are exploded: Spark would take the exploded rows for a table of the size before.
+    rows = split.join(test, "class").select("key", "class", "component", "n_shingles", "values", F.explode(places).alias("at")).select(
         "key", "at.block", "at.holds", "at.asks", "class", "component", "n_shingles", "values")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,9 +409,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")
     ).withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    keys = _keys_of(classes)
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("pivot")).where("n > 1")
-    members = stored(keys.join(buckets.select("key", "pivot"), "key"), "members")
+    members = stored(_members(classes), "members")
 
     def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         close = stored(_close(pairs, classes, percent), "close")

@@ -202,6 +202,24 @@ def test_both_encoders_agree_at_the_length_that_parts_them(length):
         assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_no_class_nor_key_is_broadcast(spark):
+    """Files of the classes are small against their rows, so Spark would take keys and signatures for small tables."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 30), n -> string(id * 31 + n))) AS text")
+    classes = neardup.stored(neardup.sketches(docs, "doc_id", "text").selectExpr(
+        "print", "doc_id AS first_id", "n_shingles", "signature", "doc_id AS class"), "classes")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    members = neardup._members(classes)
+    members.collect()
+    assert "Broadcast" not in plan(members) and "SortMergeJoin" in plan(members)
+
+    many = neardup.stored(spark.range(neardup.FEW_PAIRS + 1).selectExpr("id % 20 AS a", "20 + id % 380 AS b"), "tested")
+    close = neardup._close(many, classes)
+    assert close.count() == 0
+    assert "Broadcast" not in plan(close)
+    few = neardup._close(many.limit(50), classes)
+    assert "BuildLeft" in plan(few) and "BuildRight" not in plan(few)
+
+
 # --- shards ----------------------------------------------------------------------------
 
 def test_small_shards_equal_sql(spark):
