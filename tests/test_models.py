@@ -217,6 +217,32 @@ def test_a_forest_does_not_depend_on_the_partitions_of_its_input(design):
     assert scores[0] == scores[1]
 
 
+def test_trees_fitted_in_groups_are_one_forest(spark, design, tmp_path):
+    train = design.where("split = 'train'")
+    forest = models.fit_forest(train, trees=5, depth=3, tree_groups=2)
+    first = models.fit_forest(train, trees=3, depth=3, tree_groups=1)
+    assert forest.getNumTrees == 5 and forest.numFeatures == first.numFeatures and forest.numClasses == 2
+    shapes = [tree.toDebugString.split("\n", 1)[1] for tree in forest.trees]
+    assert shapes[:3] == [tree.toDebugString.split("\n", 1)[1] for tree in first.trees] and len(set(shapes)) == 5
+    path = str(tmp_path / "forest")
+    forest.save(path)
+    loaded = type(forest).load(path)
+    score = lambda one: models.score(one, design, predicted="p").select(fv.ID, "score", "p").orderBy(fv.ID).collect()
+    assert score(loaded) == score(forest) and loaded.getNumTrees == 5
+    assert loaded.getOrDefault("numTrees") == forest.getOrDefault("numTrees") == 5
+    explained = explain.explain_forest(design, path, features=fv.FEATURES, carry=[])
+    base = explain.base_value(explain.node_table(spark, path)).first()[0]
+    total = {r[0]: base + sum(c["shap"] for c in r["contributions"]) for r in explained.collect()}
+    assert all(abs(total[i] - p) < 1e-9 for i, p, _ in score(forest))
+
+
+def test_groups_of_trees_follow_the_rows_beyond_one_group(spark):
+    rows = spark.range(1000)
+    assert models.tree_groups_for(rows, 300) == models.tree_groups_for(rows, 30, room=30_000) == 1
+    assert (models.tree_groups_for(rows, 31, room=30_000), models.tree_groups_for(rows, 300, room=30_000)) == (3, 20)
+    assert (models.tree_groups_for(rows, 2, room=10), models.tree_groups_for(rows, 1, room=10)) == (2, 1)
+
+
 def test_a_model_being_replaced_does_not_load(spark, model, tmp_path):
     import shutil
 
